@@ -13,6 +13,10 @@ LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
+#: All ASCII bytes but letters: what parts runs of letters.
+NOT_LETTER = np.arange(256) < 128
+NOT_LETTER[[*range(65, 91), *range(97, 123)]] = False
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -63,11 +67,11 @@ class Words:
         return mix(raw ^ (self.ends - self.starts).astype(np.uint64))
 
 
-def scan(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
-    """The words [^\\x20\\x09-\\x0D]+ of the texts whose bytes are data[offsets[i]:offsets[i+1]]; A-Z lower-cased if asked for."""
+def scan(data: np.ndarray, offsets: np.ndarray, lower: bool = True, parts: np.ndarray = SPACE) -> Words:
+    """The words of the texts whose bytes are data[offsets[i]:offsets[i+1]]: runs without the bytes that parts marks. A-Z lower-cased if asked for."""
     data = LOWER[data] if lower else data
     n, docs = len(data), len(offsets) - 1
-    word = ~SPACE[data]
+    word = ~parts[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.ones(n, bool)
