@@ -34,9 +34,9 @@ from timelode.llm._common import row_slices, small_batches, table, text_buffers
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Distinct pieces kept by a worker; beyond that it starts anew. Bounds memory, not results.
-PIECES_KEPT = 600_000
+PIECES_KEPT = 250_000
 #: Texts are encoded in slices of about so many bytes.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 #: Code points below this are classed alike by every Unicode version in use; pieces with others are split by the library itself.
 SETTLED = "԰"
 
