@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("dedup_exact", "bpe", "packing", "toxicity", "quality", "langid", "ann")
+MODULES = ("dedup_exact", "bpe", "packing", "toxicity", "quality", "langid", "ann", "preferences", "url_rules")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
