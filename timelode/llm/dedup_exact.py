@@ -153,8 +153,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_groups keeps."""
-    kept = exact_groups(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

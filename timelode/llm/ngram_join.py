@@ -331,8 +331,8 @@ def remaining(lists: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without those that are near-duplicates of a document of smaller id."""
-    found = near_duplicates(docs).filter("component_id = doc_id").select("doc_id")
-    return docs.join(found, "doc_id", "left_semi")
+    dropped = near_duplicates(docs).filter("component_id <> doc_id").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
