@@ -1,4 +1,6 @@
 """The registered queries of the engine and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from timelode.plans import label_queries
+
+QUERIES: dict = dict(label_queries.QUERIES)
+ORACLES: dict = dict(label_queries.ORACLES)
