@@ -23,13 +23,13 @@ def within_horizon(tokens: Column, positive: list[str], days: int, at_most: bool
     start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("over"), F.lit(False).alias("hit"))
 
     def step(acc: Column, token: Column) -> Column:
-        n = acc.n + days_of(token)
+        n = acc["n"] + days_of(token)
         found = F.array_contains(good, token)
         hit = (n <= days) if at_most else (n >= days)
         here = F.struct(n.alias("n"), (found | F.array_contains(stop, token)).alias("over"), (found & hit).alias("hit"))
-        return F.when(acc.over, acc).otherwise(here)
+        return F.when(acc["over"], acc).otherwise(here)
 
-    return F.aggregate(tokens, start, step, lambda acc: acc.hit)
+    return F.aggregate(tokens, start, step, lambda acc: acc["hit"])
 
 
 def first_before(tokens: Column, positive: list[str], closing: list[str]) -> Column:

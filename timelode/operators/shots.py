@@ -43,7 +43,7 @@ def as_json(shots: DataFrame) -> DataFrame:
     """One JSON document for each sub_task: sizes, replicates and splits with ids, times and values."""
     per = shots.groupBy("sub_task", "k", "replicate", "split").agg(F.sort_array(F.collect_list(F.struct("patient_id", "prediction_time", "value"))).alias("rows"))
     cell = F.struct(F.col("rows.patient_id").alias("patient_ids"), F.transform("rows.prediction_time", lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")).alias("label_times"), F.col("rows.value").alias("label_values"))
-    nest = lambda df, keys, name, value: df.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(name).cast("string"), F.col(value))))).alias("m"))
+    nest = lambda df, keys, name, value: df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(name).cast("string"), F.col(value)))).alias("m"))
     out = nest(per.withColumn("cell", cell), ["sub_task", "k", "replicate"], "split", "cell")
     out = nest(out, ["sub_task", "k"], "replicate", "m")
     return nest(out, ["sub_task"], "k", "m").select("sub_task", F.to_json("m").alias("shots"))
