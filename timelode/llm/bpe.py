@@ -98,14 +98,13 @@ class Index:
         slot = self._slot(keys)
         out = self.value[slot]
         wrong = np.flatnonzero((out != NONE) & (self.key[slot] != keys))
+        slot = slot[wrong]
         while len(wrong):
-            slot = (slot[wrong] + 1) & ((1 << self.bits) - 1) if len(slot) == len(keys) else (slot + 1) & ((1 << self.bits) - 1)
+            slot = (slot + 1) & ((1 << self.bits) - 1)
             value = self.value[slot]
-            good = (value == NONE) | (self.key[slot] == keys[wrong])
-            out[wrong[good]] = value[good]
-            wrong, slot = wrong[~good], slot[~good]
-            if len(slot) == len(keys):
-                break
+            settled = (value == NONE) | (self.key[slot] == keys[wrong])
+            out[wrong[settled]] = value[settled]
+            wrong, slot = wrong[~settled], slot[~settled]
         return out
 
 
