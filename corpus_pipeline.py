@@ -8,6 +8,7 @@ that no model has seen; a stage learns from the labelled documents that it is gi
 
 Rows with a null doc_id pass the filters by their texts; in the dedup stages one survives only if its text
 has no other copy with an id, and the near-duplicate stage, which names documents by id, drops none of them.
+Repeated rows of one doc_id count as one document and stay or go together.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from timelode.llm import dedup_exact, ngram_join, packing, quality, toxicity
 from timelode.llm._common import table, written
@@ -27,13 +27,13 @@ TOXIC_FROM, QUALITY_FROM = 0.5, 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC_FROM."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("_score", toxicity.scored(docs, model)).filter(F.col("_score") < TOXIC_FROM).drop("_score")
+    return docs.filter(toxicity.scored(docs, model) < TOXIC_FROM)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least QUALITY_FROM."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("_score", quality.scored(docs, model)).filter(F.col("_score") >= QUALITY_FROM).drop("_score")
+    return docs.filter(quality.scored(docs, model) >= QUALITY_FROM)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ through an aggregate of least and greatest chunk for each (fingerprint, chunk nu
 before the shuffle, so that a group of any size neither meets in one task nor is paired. Should the two
 differ anywhere, the fingerprint's group is split by the texts themselves.
 
-Cases: null counts as an empty text, and all empty texts are one group; rows with equal doc_id stay rows of
-their own; a null doc_id loses against any other and is kept only if no row of its group has one; an
+Cases: null counts as an empty text, and all empty texts are one group; rows with equal doc_id and text are
+counted and given out each, and are kept or dropped together; a null doc_id loses against any other and is kept only if no row of its group has one; an
 empty table gives an empty result.
 """
 
@@ -136,7 +136,7 @@ def unequal(docs: DataFrame, marks: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of each row of docs (doc_id, text). Of repeated rows with one doc_id, one is kept."""
+    """doc_id, keep_id, group_size, kept and text_sha256 of each row of docs (doc_id, text)."""
     marks = written(fingerprints(docs), "fingerprints")
     groups = written(marks.groupBy(*FINGERPRINT).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "fingerprint-groups")
     split = written(unequal(docs, marks, groups), "fingerprint-collisions")
@@ -154,7 +154,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_groups keeps."""
     kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
