@@ -80,10 +80,11 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epoch
             g = 1 / (1 + np.exp(-min(max(w.sum(), -35), 35))) - labels[r]
             z[idx] = zi + g - (np.sqrt(ni + g * g) - root) / ALPHA * w
             n[idx] = ni + g * g
-    w = np.where(np.abs(z) > L1, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2), 0.0)
-    index = np.flatnonzero(w[:-1])
+    index = np.flatnonzero(np.abs(z[:-1]) > L1)
+    zi, root = z[index], np.sqrt(n[index])
+    weight = -(zi - np.sign(zi) * L1) / ((BETA + root) / ALPHA + L2)
     last = -z[-1] / ((BETA + np.sqrt(n[-1])) / ALPHA + L2)
-    return Sparse(index, w[index].astype(np.float32), float(last), bits)
+    return Sparse(index, weight.astype(np.float32), float(last), bits)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, rows: int) -> DataFrame:
@@ -112,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Column
     y = got["y"].to_numpy()
     lists = got["f"].combine_chunks()
     flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-    rows_ = [flat[a:b].astype(np.int64) for a, b in zip(at, at[1:], strict=False)]
+    rows_ = [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
     # Arrival order differs between runs; the fit must not.
     order = sorted(range(len(rows_)), key=lambda r: (len(rows_[r]), int(y[r]), rows_[r][:50].tobytes()))
     return fit_ftrl([rows_[r] for r in order], y[order].astype(float))
