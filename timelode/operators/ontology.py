@@ -15,7 +15,7 @@ def closure(edges: DataFrame, roots: DataFrame | list[str], most_levels: int = 6
     spark = edges.sparkSession
     if isinstance(roots, list):
         roots = spark.createDataFrame([(r,) for r in roots], "root string")
-    links = edges.select("parent", "child").distinct()
+    links = edges.select("parent", "child")
     found = roots.select("root", F.col("root").alias("code")).distinct()
     level = found
     for _ in range(most_levels):
