@@ -90,7 +90,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indexed(events(spark, sf_dir), "seq")
+    return indexed(events(spark, sf_dir), "seq", "code")
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +174,7 @@ raw AS (
   SELECT c_custkey, TIMESTAMP '1940-01-01' + to_days(CAST((c_custkey * 37) % 20000 AS INT)), NULL, CASE WHEN c_custkey % 5 = 0 THEN 'Ethnicity/Hispanic' ELSE 'Ethnicity/Not Hispanic' END, NULL, NULL, 'person', NULL, 5000000000000 + c_custkey FROM customer
   UNION ALL
   SELECT c_custkey, TIMESTAMP '1940-01-01' + to_days(CAST((c_custkey * 37) % 20000 AS INT)), NULL, 'Race/' || (1 + c_custkey % 7), NULL, NULL, 'person', NULL, 6000000000000 + c_custkey FROM customer),
-ev AS (SELECT *, CAST(row_number() OVER (PARTITION BY patient_id ORDER BY start_time, seq) - 1 AS INT) AS event_idx FROM raw),
+ev AS (SELECT *, CAST(row_number() OVER (PARTITION BY patient_id ORDER BY start_time, seq, code) - 1 AS INT) AS event_idx FROM raw),
 bnd AS (SELECT patient_id, min(start_time) AS first_time, max(start_time) AS last_time FROM ev GROUP BY 1),
 ip AS (SELECT * FROM ev WHERE code = 'Visit/IP' AND omop_table = 'visit_occurrence' AND start_time <> end_time),
 icu AS (SELECT * FROM ev WHERE code = 'CARE_SITE/7928450' AND omop_table = 'visit_detail' AND start_time <> end_time),
