@@ -65,18 +65,19 @@ def _shot_rows(spark, sf):
     return p.filter("split = 'test'").selectExpr("'toxic' AS sub_task", "split", "row_id", "y AS value").unionByName(p.selectExpr("'quality' AS sub_task", "split", "row_id", "quality AS value"))
 
 
-_RANK = [F.expr("pmod(row_id * (replicate + 7) * 31, 101)"), F.col("row_id")]
+def _rank():
+    return [F.expr("pmod(row_id * (replicate + 7) * 31, 101)"), F.col("row_id")]
 _RANKED = f"WITH {PREDICTIONS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY sub_task, split, value, replicate ORDER BY (row_id * (replicate + 7) * 31) % 101, row_id) AS rn, count(*) OVER (PARTITION BY sub_task, split, value, replicate) AS size, count(*) OVER (PARTITION BY sub_task, split, replicate) AS total FROM ({_SHOT_ROWS}), (SELECT CAST(unnest(range(3)) AS INT) AS replicate)), c AS (SELECT sub_task, split, count(DISTINCT value) AS classes FROM ({_SHOT_ROWS}) GROUP BY 1, 2), w AS (SELECT *, CAST(unnest([2, 8, 64]) AS INT) AS k FROM r)"
 
 
 @query(f"{_RANKED} SELECT sub_task, split, k, replicate, row_id, value, CAST(unnest(range((k - rn) // size + 1)) AS INT) AS copy FROM w WHERE rn <= k UNION ALL SELECT sub_task, split, CAST(-1 AS INT), replicate, row_id, value, 0 FROM r WHERE replicate = 0")
 def k_shot_nested(spark, sf):
-    return shots.k_shots(_shot_rows(spark, sf), [2, 8, 64, -1], 3, ident=("row_id",), rank=_RANK)
+    return shots.k_shots(_shot_rows(spark, sf), [2, 8, 64, -1], 3, ident=("row_id",), rank=_rank())
 
 
 @query(f"{_RANKED}, v AS (SELECT w.*, greatest(1, floor(classes * k * size / total)::BIGINT) AS want FROM w JOIN c USING (sub_task, split)) SELECT sub_task, split, k, replicate, row_id, value, CAST(unnest(range((want - rn) // size + 1)) AS INT) AS copy FROM v WHERE rn <= want")
 def k_shot_prevalence(spark, sf):
-    return shots.k_shots(_shot_rows(spark, sf), [2, 8, 64], 3, ident=("row_id",), keep_prevalence=True, rank=_RANK)
+    return shots.k_shots(_shot_rows(spark, sf), [2, 8, 64], 3, ident=("row_id",), keep_prevalence=True, rank=_rank())
 
 
 def k_shot_json(spark, sf):
