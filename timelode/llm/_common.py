@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,18 @@ def discard(df: DataFrame) -> None:
         _remove(df.sparkSession, files[0].rsplit("/", 1)[0])
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for the jobs that run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def bucket_of(column: str = "doc_id", n: int = 5):
     """crc32 of the id written in decimal, modulo n: the fold rule of the labelled operators. A null id gives null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

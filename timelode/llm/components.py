@@ -9,19 +9,23 @@ from timelode.llm._common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node of edges (a, b): label is the least node of its component. Rows of nodes without edges don't occur."""
+    """(node, label) of every node of edges (a, b): label is the least node of its component. Rows of nodes without edges don't occur.
+
+    In each round a node takes over the least label of its neighbours, and then the label of its label's node.
+    Labels only fall, so an unchanged sum of labels tells that they are final.
+    """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
+    total = lambda df: df.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
     labels = written(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")), "cc-labels")
-    while True:
+    before = total(labels)
+    while before is not None:
         heard = both.join(labels, both.b == labels.node).select(both.a.alias("node"), "label").unionByName(labels).groupBy("node").agg(F.min("label").alias("label"))
-        heard = written(heard, "cc-heard")
-        # Each node takes over the label of its label's node.
-        far = heard.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        jumped = written(heard.join(far, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label")), "cc-labels")
-        changed = not jumped.exceptAll(labels).isEmpty()
-        discard(heard)
+        far = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        fallen = written(heard.join(far, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label")), "cc-labels")
         discard(labels)
-        labels = jumped
-        if not changed:
-            discard(both)
-            return labels
+        labels, after = fallen, total(fallen)
+        if after == before:
+            break
+        before = after
+    discard(both)
+    return labels

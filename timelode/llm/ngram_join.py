@@ -7,7 +7,8 @@ first n - ceil(0.8 n) + 1 shingles in one fixed order, by which sets that link m
 puts shingles that repeat most over the corpus last, so that lists of common passages stay out of the way.
 
 Within lists, pairs are not spelled out. First each set is compared with its most promising of the centres
-that its lists have picked at random; what links is merged into components. Only for lists that still hold
+that its lists have picked at random; what links is merged into components. Sets outside the largest component
+of a list are then compared with new centres from within it, for some rounds. Only for lists that still hold
 several components are the pairs between them formed, and of these only those with a member outside the
 list's largest component. Pairs are dropped early by size, by position, and by parity bitmaps, whose Hamming
 distance bounds the symmetric difference; the rest is compared exactly. None of this loses a link between
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timelode.llm._common import small_batches, table, text_slices, written
+from timelode.llm._common import batch_rows, discard, small_batches, table, text_slices, written
 from timelode.llm._words import mix, scan, shingles
 from timelode.llm.components import components
 
@@ -41,9 +42,15 @@ HOT_ROWS = 500_000
 LIGHT_MOST = 9
 #: What a candidate comparison costs, in rows moved.
 COMPARISON = 40
-#: Centres that a set is compared with in the first round.
-TRIES = 4
+#: Centres that a set is compared with in the first round and in later ones, rounds at most.
+TRIES, LATER_TRIES, ROUNDS = 4, 48, 3
+#: In later rounds: centres of a list, and the length from which lists take part.
+CENTRES, LONG = 8, 24
+#: Rows of an Arrow batch that holds two sets a row.
+PAIR_ROWS = 256
 FLAG_BITS = 23
+#: Words of the sketch that join conditions look at.
+SKETCH = 8
 
 
 def need(n: int, m: int, percent: int = PERCENT) -> int:
@@ -139,6 +146,11 @@ def bitmap(u: np.ndarray) -> bytes:
     return np.packbits(np.bincount((u & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).tobytes()
 
 
+def sketch(bits: bytes) -> np.ndarray:
+    """A bitmap folded to SKETCH words of 64 bits; its distances bound the symmetric difference as well."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, SKETCH), axis=0) if bits else np.zeros(0, np.uint64)
+
+
 def may_link(n: int, m: int, a: bytes, b: bytes) -> bool:
     """Whether bitmaps allow two sets to link: their distance is at most the symmetric difference."""
     if len(a) != len(b):
@@ -165,7 +177,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).astype(np.int64) if arrays else np.zeros(0, np.int64)))
 
 
-META = "doc_id long, n_shingles long, s1 long, s2 long, bits binary, prefix array<long>, light array<long>"
+META = "doc_id long, n_shingles long, s1 long, s2 long, bits binary, sketch array<long>, prefix array<long>, light array<long>"
 
 
 def described(docs: DataFrame, order, light: int) -> DataFrame:
@@ -184,8 +196,9 @@ def described(docs: DataFrame, order, light: int) -> DataFrame:
                     if some.any():
                         sums[k, some] = np.add.reduceat(mix(flat, 20 + k), at[some])
                 listed = [u[: prefix(len(u))] if len(u) * 100 > PERCENT * light else none for u in sets]
+                bits = [bitmap(u) if len(p) else b"" for u, p in zip(sets, listed, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, len(sets)), pa.array(n), *(pa.array(s.astype(np.int64)) for s in sums), pa.array([bitmap(u) if len(p) else b"" for u, p in zip(sets, listed, strict=True)], pa.binary()), _lists(listed), _lists([u if len(u) <= light else none for u in sets])],
+                    [batch.column(0).slice(i, len(sets)), pa.array(n), *(pa.array(s.astype(np.int64)) for s in sums), pa.array(bits, pa.binary()), _lists([sketch(b) for b in bits]), _lists(listed), _lists([u if len(u) <= light else none for u in sets])],
                     [c.split()[0] for c in META.split(", ")],
                 )
 
@@ -229,8 +242,15 @@ def _possible(x: str, y: str) -> Column:
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * left >= PERCENT * (n + m))
 
 
+def _near(x: str, y: str) -> Column:
+    """Whether sketches allow a link."""
+    apart = sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(SKETCH)), F.lit(0))
+    size = F.col(f"{x}.n") + F.col(f"{y}.n")
+    return apart <= size - 2 * F.ceil(PERCENT * size / (100 + PERCENT) - 1e-9)
+
+
 def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, order) -> DataFrame:
-    """The pairs (a, b) that link: by bitmaps first, then exactly on the sets, made anew from the texts in question."""
+    """The pairs (a, b) that link, as a written table: by bitmaps first, then exactly on the sets, made anew from the texts in question."""
     spark = docs.sparkSession
 
     def by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +288,11 @@ def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, order) -> DataFr
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(asked, "node", "left_semi")
     full = written(texts.mapInArrow(sets, "node long, items array<long>"), "sets")
     side = lambda x: full.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}"))
-    return kept.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(exact, "a long, b long")
+    with batch_rows(spark, PAIR_ROWS):
+        out = written(kept.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(exact, "a long, b long"), "links")
+    for used in (full, kept, asked):
+        discard(used)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -281,7 +305,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     identity = ["n_shingles", "s1", "s2"]
     equal = written(meta.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*identity).agg(F.min("doc_id").alias("node")), "equal-sets")
     heads = meta.join(equal.select("node"), meta.doc_id == equal.node, "left_semi").filter("n_shingles > 0")
-    nodes = heads.select(F.col("doc_id").alias("node"), F.col("n_shingles").cast("int").alias("n"), "bits", "prefix", "light")
+    nodes = heads.select(F.col("doc_id").alias("node"), F.col("n_shingles").cast("int").alias("n"), "bits", "sketch", "prefix", "light")
     edges = [light_edges(nodes, light)] if light else []
 
     postings = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
@@ -290,20 +314,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     centre = F.min(F.struct(F.xxhash64("node", "h").alias("place"), "node", "n", "pos")).alias("c")
     centres = written(lists.groupBy("h").agg(centre).select("h", "c.node", "c.n", "c.pos"), "list-centres")
     met = lists.alias("x").join(centres.alias("y"), "h").filter((F.col("x.node") != F.col("y.node")) & _possible("x", "y"))
-    met = met.groupBy(F.col("x.node").alias("x"), F.col("y.node").alias("y")).agg(F.count(F.lit(1)).alias("times"))
-    best = Window.partitionBy("x").orderBy(F.desc("times"), "y")
-    first = met.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= TRIES)
-    ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    first = written(first.select(*ordered("x", "y")).distinct(), "first-pairs")
-    if not first.isEmpty():
-        edges.append(linked(first, nodes, docs, order))
+    done = written(_promising(met), "first-pairs")
+    if not done.isEmpty():
+        edges.append(linked(done, nodes, docs, order))
     edge_table = written(_union(edges, spark), "edges")
     labels = components(edge_table)
-
-    rest = written(remaining(lists, labels, first), "remaining-pairs")
-    if not rest.isEmpty():
-        edge_table = written(edge_table.unionByName(linked(rest, nodes, docs, order)), "all-edges")
+    for k in range(2, ROUNDS + 1):
+        split = split_lists(lists, labels, nodes, LONG)
+        if split.isEmpty():
+            break
+        place = F.xxhash64("node", "h", F.lit(k))
+        within = split.filter("comp = main").groupBy("h", F.pmod(place, F.lit(CENTRES))).agg(F.min(F.struct(place.alias("place"), "node", "n", "pos", "sketch")).alias("c"))
+        centres = written(within.select("h", "c.node", "c.n", "c.pos", "c.sketch"), "list-centres")
+        met = split.filter("comp <> main").alias("x").join(centres.alias("y"), "h").filter(_possible("x", "y") & _near("x", "y"))
+        more = written(_promising(met, done, LATER_TRIES), "more-pairs")
+        found = linked(more, nodes, docs, order)
+        done = done.unionByName(more)
+        if found.isEmpty():
+            break
+        edge_table = edge_table.unionByName(found)
         labels = components(edge_table)
+    rest = written(remaining(split_lists(lists, labels, nodes), done), "remaining-pairs")
+    if not rest.isEmpty():
+        labels = components(edge_table.unionByName(linked(rest, nodes, docs, order)))
     own = written(equal.join(labels, "node", "left").select(*identity, F.coalesce("label", "node").alias("component")), "set-components")
     out = meta.select("doc_id", *identity).join(own, identity, "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
@@ -316,15 +349,32 @@ def _union(parts: list[DataFrame], spark: SparkSession) -> DataFrame:
     return out
 
 
-def remaining(lists: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame:
-    """The pairs between components that still meet in lists, without those in done. At least one of a pair is outside its list's largest component."""
+def _promising(met: DataFrame, done: DataFrame | None = None, tries: int = TRIES) -> DataFrame:
+    """Of pairs x, y that met in lists, so many of each x that met most often, as (a, b) with a < b; those in done are left out first."""
+    a, b = F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
+    pairs = met.select(F.col("x.node").alias("x"), a, b).groupBy("x", "a", "b").agg(F.count(F.lit(1)).alias("times"))
+    if done is not None:
+        pairs = pairs.join(done, ["a", "b"], "left_anti")
+    best = Window.partitionBy("x").orderBy(F.desc("times"), "a", "b")
+    return pairs.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= tries).select("a", "b").distinct()
+
+
+def split_lists(lists: DataFrame, labels: DataFrame, nodes: DataFrame, least: int = 2) -> DataFrame:
+    """(h, node, n, pos, comp, main, sketch): the lists of at least so many sets that hold several components, with each row's component and the list's largest."""
     rows = written(lists.join(labels, "node", "left").select("h", "node", "n", "pos", F.coalesce("label", "node").alias("comp")), "labelled-lists")
     sizes = rows.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("h").agg(F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
-    split = written(largest.filter("comps > 1").select("h", F.col("top.comp").alias("main")), "split-lists")
-    own = written(rows.join(split, "h"), "split-list-rows")
-    outside = own.filter("comp <> main")
-    met = outside.alias("x").join(own.alias("y"), "h").filter((F.col("x.comp") != F.col("y.comp")) & _possible("x", "y"))
+    largest = sizes.groupBy("h").agg(F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("size").alias("all"))
+    several = written(largest.filter((F.col("comps") > 1) & (F.col("all") >= least)).select("h", F.col("top.comp").alias("main")), "split-lists")
+    out = rows.join(several, "h").join(nodes.select("node", "sketch"), "node").select("h", "node", "n", "pos", "comp", "main", "sketch")
+    out = written(out, "split-list-rows")
+    discard(rows)
+    discard(several)
+    return out
+
+
+def remaining(split: DataFrame, done: DataFrame) -> DataFrame:
+    """The pairs between components that still meet in lists, without those in done. At least one of a pair is outside its list's largest component."""
+    met = split.filter("comp <> main").alias("x").join(split.alias("y"), "h").filter((F.col("x.comp") != F.col("y.comp")) & _possible("x", "y") & _near("x", "y"))
     pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     return pairs.join(done, ["a", "b"], "left_anti")
 
