@@ -253,6 +253,12 @@ def ema_loss(spark, sf):
     return _rounded(reports.ema(rows, ["lr"], "step", "loss"), "ema")
 
 
+@query("WITH RECURSIVE e AS (SELECT user_id AS lr, event_id AS step, value AS loss, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), f AS (SELECT lr, step, n, loss AS ema FROM e WHERE n = 1 UNION ALL SELECT e.lr, e.step, e.n, f.ema * 9 / 11 + e.loss * 2 / 11 FROM f JOIN e ON e.lr = f.lr AND e.n = f.n + 1) SELECT lr, step, round(ema, 6) AS ema FROM f")
+def ema_loss_all_runs(spark, sf):
+    rows = fx.read(spark, sf, "events").selectExpr("user_id AS lr", "event_id AS step", "value AS loss")
+    return _rounded(reports.ema(rows, ["lr"], "step", "loss"), "ema")
+
+
 @query("WITH r AS (SELECT user_id % 3 AS head, user_id AS uuid, CASE WHEN event_type = 'view' THEN 'val' ELSE 'test' END AS split, max(value) AS auroc FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL), b AS (SELECT head, max(auroc) AS m FROM r WHERE split = 'val' GROUP BY 1) SELECT r.* FROM r WHERE EXISTS (SELECT 1 FROM r v JOIN b ON v.head = b.head AND v.auroc = b.m WHERE v.split = 'val' AND v.head = r.head AND v.uuid = r.uuid)")
 def best_run(spark, sf):
     rows = fx.read(spark, sf, "events").filter("event_type IN ('view', 'click')").groupBy((F.col("user_id") % 3).alias("head"), F.col("user_id").alias("uuid"), F.when(F.col("event_type") == "view", "val").otherwise("test").alias("split")).agg(F.max("value").alias("auroc"))
