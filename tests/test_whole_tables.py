@@ -1,6 +1,15 @@
 """Registered queries that read whole tables: every run, admission and patient is in the result."""
 
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from timelode.operators import timeline
 from timelode.plans.catalog import ORACLES, QUERIES
+from timelode.sources import fixtures as fx
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_moving_average_of_every_run(spark, tmp_path):
@@ -17,3 +26,16 @@ def test_moving_average_of_every_run(spark, tmp_path):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
     assert {(lr, step): ema for lr, step, ema in duck.execute(ORACLES["ema_loss_all_runs"]).fetchall()} == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["count_features_all_admissions", "count_features_with_ancestors_all_admissions", "age_feature_all_admissions"])
+def test_features_at_every_admission(spark, name):
+    asked = timeline.admissions(fx.visits(spark, SF)).select("patient_id", F.col("end_time").alias("prediction_time")).distinct()
+    events = fx.events(spark, SF)
+    if name == "count_features_with_ancestors_all_admissions":
+        # Only asked times with a coded condition before them have counts.
+        asked = asked.join(events.filter("code LIKE 'P/%'").groupBy("patient_id").agg(F.min("start_time").alias("first")), "patient_id").filter("first <= prediction_time").select("patient_id", "prediction_time")
+    got = QUERIES[name](spark, SF).select("patient_id", "prediction_time").distinct()
+    want = {tuple(r) for r in asked.collect()}
+    assert want and {tuple(r) for r in got.collect()} == want
