@@ -113,6 +113,21 @@ def test_runs_are_best_fit_decreasing(seed):
     assert (len(room), sorted(64 - sum(n for _, n in p) for p in room.values())) == (bins, left)
 
 
+@pytest.mark.parametrize(("hist", "capacity", "sequences"), [({11: 2, 4: 2, 3: 3}, 20, 2), ({424: 2000, 80: 1000, 58: 1500}, 1024, 1000), ({40: 9, 33: 20, 10: 31, 7: 17, 3: 50}, 64, None)])
+def test_open_bins_are_filled_before_the_next(hist, capacity, sequences):
+    room, numbers = {}, {}
+    for n, a, b, first, offset in packing.best_fit_runs(hist, capacity):
+        numbers.setdefault(n, []).extend(range(a, b))
+        for k in range(b - a):
+            room.setdefault(first + k, []).append((offset, n))
+    assert {n: sorted(v) for n, v in numbers.items()} == {n: list(range(c)) for n, c in hist.items()}
+    for parts in room.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))]
+    bins, left = plain_best_fit([n for n, c in hist.items() for _ in range(c)], capacity)
+    assert (len(room), sorted(capacity - sum(n for _, n in p) for p in room.values())) == (bins, left)
+    assert sequences in (None, bins)
+
+
 def test_op7_rows(spark, tmp_path, reference):
     texts = [*ODD, " ".join(words(3000, 1)), *[" ".join(words(k, k)) for k in range(1, 200, 7)]]
     rows = packing.op7_packing(spark, write(tmp_path, documents=docs(spark, texts).repartition(5))).collect()

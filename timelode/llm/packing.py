@@ -3,8 +3,8 @@
 Best fit decreasing depends on lengths alone, and pieces of one length are interchangeable. So the
 packer works on the histogram of lengths, which has at most as many rows as the capacity: for each
 length, longest first, a segment tree over the remaining capacities finds the tightest open bins in
-logarithmic time, and as many pieces go there at once as there are such bins. The outcome is the one
-that best fit decreasing gives piece by piece. It is written down as runs: "pieces number a..b of this
+logarithmic time, and all such bins are filled at once, each with as many pieces as it has room for
+before the next. The outcome is the one that best fit decreasing gives piece by piece. It is written down as runs: "pieces number a..b of this
 length go to sequences s.. at offset o". Only the histogram and the runs reach the driver; both are
 bounded by the capacity, not by the corpus.
 
@@ -120,15 +120,22 @@ def best_fit_runs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
                         tree.add(left, count)
                         bins, placed = bins + count, placed + k * count
                 continue
+            # A bin just filled is the tightest, so it takes pieces as long as they fit before the next bin is begun.
             first, count = open_bins[room].pop()
-            n = min(count, total - placed)
-            runs.append((length, placed, placed + n, first, capacity - room))
-            tree.add(room, -n)
-            if n < count:
-                open_bins[room].append((first + n, count - n))
-            open_bins.setdefault(room - length, []).append((first, n))
-            tree.add(room - length, n)
-            placed += n
+            per = room // length
+            full = min(count, (total - placed) // per)
+            rest = total - placed - full * per if full < count else 0
+            for k, n in ((per, full), (rest, 1 if rest else 0)):
+                if n:
+                    for slot in range(k):
+                        runs.append((length, placed + slot * n, placed + (slot + 1) * n, first, capacity - room + slot * length))
+                    left = room - k * length
+                    open_bins.setdefault(left, []).append((first, n))
+                    tree.add(left, n)
+                    tree.add(room, -n)
+                    first, count, placed = first + n, count - n, placed + k * n
+            if count:
+                open_bins[room].append((first, count))
     return runs
 
 
