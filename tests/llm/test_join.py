@@ -3,7 +3,8 @@
 import random
 
 import pytest
-from helpers import DOCS, brute_components, docs, words, write
+from helpers import DOCS, brute_components, docs, shingle_set, words, write
+from pyspark.sql import functions as F
 
 from timelode.llm import components as cc
 from timelode.llm import ngram_join as nj
@@ -61,19 +62,45 @@ def test_needs_and_boundary():
     assert nj.boundary(0.0) < nj.boundary(1.0) <= nj.LIGHT_MOST
 
 
-def test_bitmaps_never_refuse_a_link():
+def test_sketches_never_refuse_a_link(spark):
     import numpy as np
 
-    rng = np.random.default_rng(2)
-    for n in (10, 200, 2047, 2300, 17000):
+    rng, rows = np.random.default_rng(2), []
+    for n in (10, 200, 511, 2300):
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-        cut = len(a) // 11
-        b = np.unique(np.concatenate([a[cut:], rng.integers(0, 2**63, cut).astype(np.uint64)]))
-        common = len(np.intersect1d(a, b))
-        if 100 * common >= 80 * (len(a) + len(b) - common):
-            assert nj.may_link(len(a), len(b), nj.bitmap(a), nj.bitmap(b))
-        other = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-        assert not nj.may_link(len(a), len(other), nj.bitmap(a), nj.bitmap(other))
+        for cut in (0, 1, len(a) // 11, len(a) // 9, len(a) // 2):
+            b = np.unique(np.concatenate([a[cut:], rng.integers(0, 2**63, cut).astype(np.uint64)]))
+            common = len(np.intersect1d(a, b))
+            rows.append((len(a), nj.sketch(a).astype(np.int64).tolist(), len(b), nj.sketch(b).astype(np.int64).tolist(), 100 * common >= 80 * (len(a) + len(b) - common)))
+    frame = spark.createDataFrame(rows, "n long, s array<long>, m long, t array<long>, link boolean").withColumn("x", F.struct("n", F.col("s").alias("sketch"))).withColumn("y", F.struct(F.col("m").alias("n"), F.col("t").alias("sketch")))
+    got = frame.select("link", nj._near("x", "y", positions=False).alias("near"), "n", nj._apart("x", "y").alias("apart"), nj._most_apart(F.col("n"), F.col("m")).alias("most")).collect()
+    assert all(r.near for r in got if r.link) and any(not r.near for r in got)
+
+
+@pytest.mark.parametrize("blocks", [2048, 3])
+def test_rounds_and_blocks_change_no_result(spark, tmp_path, blocks, monkeypatch):
+    monkeypatch.setattr(nj, "BLOCK_ROWS", blocks)
+    monkeypatch.setattr(nj, "LONG", 3)
+    monkeypatch.setattr(nj, "ROUNDS", 1 if blocks == 3 else 4)
+    texts = corpus(7)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.near_duplicates(docs(spark, texts).repartition(3)).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+
+
+def test_one_id_with_many_texts(spark):
+    rng = random.Random(5)
+    texts = [" ".join(words(rng.randint(20, 40), k)) for k in range(200)]
+    rows = spark.createDataFrame([(5, t, None, None, None) for t in texts * 2] + [(9, max(texts, key=lambda t: len(t.split())), None, None, None)], DOCS)
+    got = nj.near_duplicates(rows).collect()
+    assert len(got) == 401 and {r.component_id for r in got if r.doc_id == 5} == {5}
+    assert sorted(r.n_shingles for r in got if r.doc_id == 5) == sorted(len(shingle_set(t)) for t in texts * 2)
+
+
+def test_merging_rounds(spark):
+    one = spark.createDataFrame([(1, 2), (3, 4), (8, 9)], "a long, b long")
+    two = spark.createDataFrame([(4, 2), (2, 4), (1, 2), (9, 10)], "a long, b long")
+    got = {r.node: r.label for r in cc.merged(cc.merged(None, one), two).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8, 10: 8}
 
 
 @pytest.mark.parametrize("seed", [1, 2])

@@ -10,6 +10,7 @@ from helpers import DOCS, docs, words, write
 from pyspark.sql import functions as F
 
 from timelode.llm import ann, langid, preferences, quality, toxicity, url_rules
+from timelode.llm import _words
 from timelode.llm._common import text_slices
 
 
@@ -215,11 +216,125 @@ def test_mined_rules_block_what_they_hold(spark, tmp_path):
     got = {r.page_id: r.verdict for r in url_rules.op10_url_rules(spark, folder).collect()}
     pages = {r[0]: r[1] for r in rows}
     assert all(v == ("block" if "casino" in pages[i] or "pills" in pages[i] else "allow") for i, v in got.items())
-    labelled = url_rules.labelled_pages(spark.read.parquet(f"{folder}/pages.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
-    keyed = url_rules.with_host_path(labelled).withColumn("tokens", url_rules.tokens()).collect()
-    for rule in url_rules.mined_rules(url_rules.with_host_path(labelled).withColumn("tokens", url_rules.tokens())).collect():
-        held = [r.block for r in keyed if set(rule.antecedent) <= set(r.tokens)]
-        assert len(held) >= url_rules.LEAST_PAGES * 0.9 and np.mean(held) >= url_rules.CONFIDENCE
+    keyed = url_rules.with_host_path(url_rules.labelled_pages(*(spark.read.parquet(f"{folder}/{t}.parquet") for t in ("pages", "labels")))).withColumn("tokens", url_rules.tokens())
+    assert blocked_by(url_rules.mined_rules(keyed), keyed) == plain_rules(keyed)
+
+
+def plain_rules(keyed, least=None, confidence=None):
+    """Token sets of keyed rows that hold some set of tokens of enough support and confidence, by counting all sets."""
+    from itertools import combinations
+
+    rows = [(frozenset(r.tokens), r.block) for r in keyed.collect()]
+    least = max(url_rules.LEAST_PAGES, url_rules.SUPPORT * len(rows))
+    all_, bad = {}, {}
+    for tokens, block in rows:
+        for k in range(1, len(tokens) + 1):
+            for c in combinations(sorted(tokens), k):
+                all_[c] = all_.get(c, 0) + 1
+                bad[c] = bad.get(c, 0) + block
+    rules = [set(c) for c in all_ if bad[c] >= least and bad[c] >= url_rules.CONFIDENCE * all_[c]]
+    return {t for t, _ in rows if any(r <= t for r in rules)}
+
+
+def blocked_by(index, keyed):
+    sets = keyed.withColumn("signature", F.concat_ws("\n", "tokens"))
+    found = {r.signature for r in url_rules.blocked_sets(sets, index).collect()} if index is not None else set()
+    return {frozenset(s.split("\n")) for s in found}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mined_rules_equal_plain_counting(spark, seed):
+    rng, rows = random.Random(seed), []
+    for _ in range(150):
+        t = {f"host:{rng.choice('ab')}", "scheme:https"} | {f"path:{rng.choice('xyz')}" for _ in range(2)}
+        if "path:x" in t:
+            t |= {"key:p", "key:q"}
+        rows.append((sorted(t), rng.random() < (0.9 if "path:x" in t and "host:a" in t else 0.3)))
+    keyed = spark.createDataFrame(rows, "tokens array<string>, block boolean")
+    assert blocked_by(url_rules.mined_rules(keyed), keyed) == plain_rules(keyed)
+    # A page that the labels don't know, with one of the tokens that always came together.
+    more = spark.createDataFrame([(["host:a", "key:q", "path:x"], True), (["host:b", "key:q"], True)], "tokens array<string>, block boolean")
+    assert frozenset(["host:a", "key:q", "path:x"]) in blocked_by(url_rules.mined_rules(keyed), more)
+
+
+def test_twenty_constant_query_keys(spark):
+    keys = [f"key:k{i}" for i in range(20)]
+    rows = [([*keys, "host:a"], True)] * 30 + [(["host:b"], False)] * 20
+    index = url_rules.mined_rules(spark.createDataFrame(rows, "tokens array<string>, block boolean"))
+    assert {r.token for r in index.collect()} == {*keys, "host:a"} and index.select("rule_id").distinct().count() == 1
+    assert url_rules.mined_rules(spark.createDataFrame([([], True)] * 20, "tokens array<string>, block boolean")) is None
+
+
+def test_repeated_ids_of_models(spark):
+    texts, flags = toxic_corpus(200)
+    labels = spark.createDataFrame([(i, f, f) for i, f in enumerate(flags)], "doc_id long, quality int, toxic int")
+    rows = docs(spark, texts)
+    again = rows.unionByName(rows.filter("doc_id < 50")).unionByName(rows.filter("doc_id = 7").select("doc_id", F.lit("").alias("text"), "lang", "source", "n_chars"))
+    assert toxicity.labelled_sample(again, labels.union(labels), "toxic", F.lit(True), 1000).count() == 200
+    a, b = toxicity.fit(rows, labels), toxicity.fit(again, labels.union(labels))
+    assert a.index.tolist() == b.index.tolist() and np.allclose(a.weight, b.weight)
+    few = toxicity.fit(rows, labels, most=100)
+    assert len(few.index) < len(a.index)
+    x = np.random.default_rng(0).random((5, len(quality.NAMES)))
+    assert np.array_equal(quality.fit(rows, labels).score(x), quality.fit(again, labels.union(labels)).score(x))
+    names = [list(LANGS)[i % 3] for i in range(90)]
+    said = docs(spark, [tongue(k, 100, i) for i, k in enumerate(names)], langs=names)
+    f, g = langid.fit(said), langid.fit(said.union(said))
+    assert f.languages == g.languages and np.allclose(f.weight, g.weight)
+    assert langid.windows_of(said).count() == 90 * 3
+
+
+def test_ftrl_equals_plain_updates():
+    """Per-coordinate FTRL-proximal, written out coordinate by coordinate."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 16, 5)) for _ in range(60)]
+    y = np.array([float(3 in r) for r in rows])
+    got = toxicity.fit_ftrl(rows, y, bits=4, epochs=3)
+    z, n, order = {}, {}, np.random.default_rng(7)
+    rate = lambda k: (toxicity.BETA + n.get(k, 0.0) ** 0.5) / toxicity.ALPHA + toxicity.L2
+
+    def weight(k):
+        s, l1 = z.get(k, 0.0), 0.0 if k == "bias" else toxicity.L1
+        return 0.0 if abs(s) <= l1 and k != "bias" else -(s - (l1 if s > 0 else -l1)) / rate(k)
+
+    for _ in range(3):
+        for r in order.permutation(len(rows)).tolist():
+            keys = [*rows[r].tolist(), "bias"]
+            w = {k: weight(k) for k in keys}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y[r]
+            for k in keys:
+                old = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / toxicity.ALPHA * w[k]
+                n[k] = old + g * g
+    want = {k: weight(k) for k in range(16) if weight(k)}
+    assert dict(zip(got.index.tolist(), got.weight.tolist(), strict=True)) == pytest.approx(want, rel=1e-4)
+    assert got.bias == pytest.approx(weight("bias"))
+
+
+def test_segments_of_long_texts(monkeypatch):
+    text = " ".join(words(700, 1, 50)).replace("w", "x y").encode()
+    data, offsets = np.frombuffer(text * 2, np.uint8), np.array([0, len(text), 2 * len(text)])
+    whole = toxicity.distinct_features(data, offsets)
+    field = langid.Field(["a", "b"], np.random.default_rng(0).normal(size=(1 << langid.BITS, 2)), np.array([[0.5, -1.0], [0.2, 0.1]]))
+    one = _words.scan(data[: len(text)], offsets[:2], parts=_words.NOT_LETTER)
+    sums = field.marginals(field.potentials(one), one.first).sum(axis=0)
+    for size in (1, 7, 64, 333):
+        monkeypatch.setattr(toxicity, "SEGMENT", size)
+        monkeypatch.setattr(langid, "SEGMENT", size)
+        assert np.array_equal(toxicity.distinct_features(data, offsets), whole)
+        if size > 1:
+            assert np.allclose(field.long_sum(one), sums)
+
+
+def test_repeated_vectors(spark, tmp_path):
+    rows = [(k, [float(k % 7), 1.0], 0) for k in range(60)]
+    rows += [(20, [9.0, 1.0], 0), (20, [9.0, 1.0], 0), (3, [0.0, 0.5], 0)]
+    got = ann.op6_ann(spark, write(tmp_path, embeddings=vectors(spark, rows))).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append(r.vec_id)
+    assert sorted(by) == [0, 20, 40] and all(len(set(v)) == len(v) == 20 for v in by.values())
+    assert max(r.score for r in got if r.query_id == 20) == 9.0 * 6 + 1
 
 
 def test_slices_cover_all_rows():

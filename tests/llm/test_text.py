@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from timelode.llm import _words, bpe, dedup_exact, packing
-from timelode.llm._common import text_slices
+from timelode.llm._common import SLICE_BYTES, text_slices
 
 ODD = ["", None, " ", "\n\t ", "a", "A b", "é È", "x" * 5000, "One two three four five six", "one TWO three four five six", "a\x0bb\x0cc\rd", " nb sp", "漢字 かな", "🙂🙂", "<|endoftext|>", "a <|endoftext|>b", "!!!", "it's we'll", "  two  spaces ", "1234 56", "aaaa" * 300]
 
@@ -73,6 +73,16 @@ def test_codec_forgets_without_harm(monkeypatch, reference):
         assert encode_all([t]) == [reference.encode(t, add_special_tokens=False).ids]
 
 
+@pytest.mark.parametrize("size", [8, 40, 300])
+def test_long_texts_in_parts(monkeypatch, reference, size):
+    monkeypatch.setattr(bpe, "ENCODE_BYTES", size)
+    texts = [t or "" for t in ODD] + [" ".join(words(400, 2)), "  a\xa0 b  é c\u3000 d " * 30, "x<|endoftext|> y z " * 40]
+    got = encode_all(texts)
+    assert got == [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
+    flat = np.concatenate([np.array(g, np.int64) for g in got])
+    assert bpe.codec(bpe.TOKENIZER).decode(flat, np.concatenate([[0], np.cumsum([len(g) for g in got])])) == texts
+
+
 def test_op8_rows(spark, tmp_path, reference):
     got = {r.doc_id: r for r in bpe.op8_bpe(spark, write(tmp_path, documents=docs(spark, ODD))).collect()}
     for i, t in enumerate(ODD):
@@ -189,3 +199,44 @@ def test_null_ids_and_repeated_rows(spark):
     got = sorted(map(tuple, dedup_exact.exact_groups(rows).select("doc_id", "keep_id", "group_size", "kept").collect()), key=str)
     assert got == sorted([(3, 3, 3, True), (3, 3, 3, True), (None, 3, 3, False), (None, None, 1, True)], key=str)
     assert dedup_exact.keep_one(rows.withColumn("keep_id", F.lit(1))).columns == [*rows.columns, "keep_id"]
+    assert sorted(((r.doc_id, r.text) for r in dedup_exact.keep_one(rows).collect()), key=str) == [(3, "a"), (3, "a"), (None, "b")]
+
+
+def test_a_repeated_id_costs_its_rows_only(spark):
+    texts = [f"text {k % 300} " + "z" * 20 for k in range(600)] + [" ", "null id", "null id"]
+    rows = spark.createDataFrame([(7 if k < 600 else None, t, None, None, None) for k, t in enumerate(texts)], DOCS)
+    marks = dedup_exact.fingerprints(rows)
+    groups = marks.groupBy(*dedup_exact.FINGERPRINT).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    assert dedup_exact.unequal(rows, marks, groups).count() == 0
+    keys = marks.select("text_key", *dedup_exact.FINGERPRINT).distinct()
+    assert dedup_exact._chunks(rows.select("text", dedup_exact._text_key().alias("text_key")).join(keys, "text_key")).count() == len(texts)
+    got = dedup_exact.exact_groups(rows).collect()
+    assert len(got) == len(texts) and {r.group_size for r in got if r.doc_id == 7} == {2} and sorted(r.group_size for r in got if r.doc_id is None) == [1, 2, 2]
+
+
+def test_long_texts_in_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 50, n)) for n in (3, 4000, 1, 0, 900)] + ["x" * 3000 + " y"]
+    want = []
+    for _, _, data, offsets in text_slices(pa.array(texts)):
+        want.append((_words.scan(data, offsets), dedup_exact.chunk_hashes(data, offsets)))
+    for k in ("BLOCK", "_UP", "_DOWN"):
+        monkeypatch.setattr(_words, k, 64 if k == "BLOCK" else getattr(_words, k)[:64])
+    monkeypatch.setattr(dedup_exact, "BLOCK", 8192)
+    for (_, _, data, offsets), (words_, chunks) in zip(text_slices(pa.array(texts)), want, strict=True):
+        got = _words.scan(data, offsets)
+        assert all(np.array_equal(getattr(got, k), getattr(words_, k)) for k in ("starts", "ends", "doc", "first"))
+        small = got.hashes()
+        for k, part in enumerate(dedup_exact.chunk_hashes(data, offsets)):
+            assert np.array_equal(part, chunks[k])
+    monkeypatch.undo()
+    assert np.array_equal(small, words_.hashes())
+    assert len(set(small.tolist())) == len({w for t in texts for w in t.lower().split()})
+
+
+def test_a_text_beyond_a_slice():
+    text = " ".join(words(400_000, 3, 10**6))
+    assert len(text) > 2 * SLICE_BYTES
+    (_, _, data, offsets), = text_slices(pa.array([text]))
+    h, _ = _words.shingles(_words.scan(data, offsets))
+    assert len(set(h.tolist())) == len(shingle_set(text))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -14,8 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy pass works on; temporaries take some ten times as much.
-SLICE_BYTES = 1 << 20
+#: Bytes of text that are worked on at a time, and bytes of an Arrow batch of texts in the jobs that operators run themselves.
+SLICE_BYTES, BATCH_BYTES = 1 << 20, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +55,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
         _registered.add(root)
         atexit.register(_remove, spark, root)
     path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_arrow(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,11 +68,11 @@ def discard(df: DataFrame) -> None:
 
 
 @contextmanager
-def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows for the jobs that run inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def small_arrow(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Arrow batches of about so many bytes at most, for the jobs that run inside."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+    spark.conf.set(key, size)
     try:
         yield
     finally:
@@ -113,6 +116,22 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function after whose end the worker gives freed memory back: workers are kept, and what one has freed is of no use to the others."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return inner
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Batches of at most so many rows, without copies."""
     for batch in batches:

@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timelode.llm._words import _BYTE, _power
-from timelode.llm._common import row_slices, small_batches, table, text_buffers
+from timelode.llm._common import lean, row_slices, small_batches, table, text_buffers
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Distinct pieces kept by a worker; beyond that it starts anew. Bounds memory, not results.
-PIECES_KEPT = 250_000
-#: Texts are encoded in slices of about so many bytes.
-ENCODE_BYTES = 4 << 20
+PIECES_KEPT = 120_000
+#: Texts are encoded in slices, and long texts in parts, of about so many bytes.
+ENCODE_BYTES = 1 << 20
 #: Code points below this are classed alike by every Unicode version in use; pieces with others are split by the library itself.
 SETTLED = "԰"
 
@@ -439,13 +439,26 @@ class Codec:
             place, first = whole, start
         return self._gather(place, first)
 
+    def encode_long(self, text: np.ndarray) -> np.ndarray:
+        """The ids of one text, given as bytes, encoded in parts of about ENCODE_BYTES: cut where the pre-tokenizer cuts, before a space that a visible ASCII character follows."""
+        cut = [0]
+        for k in range(ENCODE_BYTES, len(text), ENCODE_BYTES) if not any(" " in s for s in self.special) else ():
+            near = text[k : k + ENCODE_BYTES]
+            at = np.flatnonzero((near[:-1] == 32) & (near[1:] > 32) & (near[1:] < 127))
+            if len(at):
+                cut.append(k + int(at[0]))
+        parts = (text[a:b].tobytes().decode() for a, b in zip(cut, [*cut[1:], len(text)], strict=True))
+        return np.concatenate([self.encode(pa.array([p], pa.string()))[0] for p in parts])
+
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The texts whose ids are ids[offsets[i]:offsets[i+1]]."""
-        size = np.diff(self.spelled_at)[ids]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.spelled[np.repeat(self.spelled_at[ids] - (ends - size), size) + np.arange(total)].tobytes()
-        at = np.concatenate([[0], ends])[offsets].tolist()
+        length, parts = np.diff(self.spelled_at), []
+        for k in range(0, len(ids), ENCODE_BYTES // 4):
+            part = ids[k : k + ENCODE_BYTES // 4]
+            size = length[part]
+            ends = np.cumsum(size)
+            parts.append(self.spelled[np.repeat(self.spelled_at[part] - (ends - size), size) + np.arange(int(ends[-1]))].tobytes())
+        flat, at = b"".join(parts), np.concatenate([[0], np.cumsum(length[ids])])[offsets].tolist()
         return [flat[i:j].decode("utf-8", "replace") for i, j in zip(at, at[1:], strict=False)]
 
 
@@ -458,10 +471,13 @@ def codec(name: str = TOKENIZER) -> Codec:
 def encoded_slices(column: pa.Array, name: str = TOKENIZER) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, ids, offsets) of each slice of a text column."""
     own = codec(name)
-    _, offsets = text_buffers(column)
+    data, offsets = text_buffers(column)
     for i, j in row_slices(offsets, ENCODE_BYTES):
-        ids, at = own.encode(column.slice(i, j - i))
-        yield i, j, ids, at
+        if j - i == 1 and offsets[j] - offsets[i] > 2 * ENCODE_BYTES:
+            ids = own.encode_long(data[offsets[i] : offsets[j]])
+            yield i, j, ids, np.array([0, len(ids)])
+        else:
+            yield i, j, *own.encode(column.slice(i, j - i))
 
 
 def encode(df: DataFrame, text: str = "text", out: str = "ids", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -477,7 +493,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", tokenizer: str =
     src = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`"))
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-    return src.mapInArrow(run, StructType([*src.schema.fields[:-1], StructField(out, ArrayType(IntegerType()))]))
+    return src.mapInArrow(lean(run), StructType([*src.schema.fields[:-1], StructField(out, ArrayType(IntegerType()))]))
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -495,7 +511,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", tokenizer: str
     src = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{ids}`"))
     from pyspark.sql.types import StringType, StructField, StructType
 
-    return src.mapInArrow(run, StructType([*src.schema.fields, StructField(out, StringType())]))
+    return src.mapInArrow(lean(run), StructType([*src.schema.fields, StructField(out, StringType())]))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,3 +29,18 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
     discard(both)
     return labels
+
+
+def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """labels (node, label) after more edges (a, b): components of the edges between labels, without loops and repeats, carried over to the nodes.
+
+    What is walked again is a graph of components, not of nodes, so rounds of merging get cheaper as groups grow.
+    """
+    if labels is None:
+        return components(edges)
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"of_{x}"))
+    ends = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    moved = components(ends.filter("a <> b").distinct())
+    to = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    out = labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return written(out.unionByName(moved.join(labels, "node", "left_anti")), "cc-labels")

@@ -9,11 +9,14 @@ and its length.
 Texts of equal fingerprint are then compared, chunk by chunk: the chunks of the texts in question stream
 through an aggregate of least and greatest chunk for each (fingerprint, chunk number), which pre-aggregates
 before the shuffle, so that a group of any size neither meets in one task nor is paired. Should the two
-differ anywhere, the fingerprint's group is split by the texts themselves.
+differ anywhere, the fingerprint's group is split by the texts themselves. The texts in question are found
+again by a hash of the text, never by doc_id, so ids that repeat or are null change nothing.
+
+Chunks of a text of any length are hashed a block at a time.
 
 Cases: null counts as an empty text, and all empty texts are one group; rows with equal doc_id and text are
-counted and given out each, and are kept or dropped together; a null doc_id loses against any other and is kept only if no row of its group has one; an
-empty table gives an empty result.
+counted and given out each, and are kept or dropped together; a null doc_id loses against any other and is
+kept only if no row of its group has one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,17 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelode.llm._common import small_batches, table, text_buffers, text_slices, written
-from timelode.llm._words import LOWER
+from timelode.llm._common import lean, small_batches, table, text_slices, written
+from timelode.llm._words import BLOCK, LOWER
 
 CHUNK = 8192
 #: Four primes below 2^31, and a base for each.
 PRIMES = np.array([2147483647, 2147483629, 2147483587, 2147483579], np.uint64)
 BASES = np.array([911382323, 972663749, 1165701469, 1301081933], np.uint64)
 FINGERPRINT = ["f1", "f2", "n_bytes"]
+#: Chunks given out at a time.
+CHUNKS_OUT = 256
+UPPER, LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _powers(n: int) -> np.ndarray:
@@ -84,53 +90,64 @@ def chunk_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     start = offsets[:-1][text] + nth * CHUNK
     length = np.minimum(CHUNK, offsets[1:][text] - start)
     hashes = np.zeros((len(PRIMES), len(text)), np.uint64)
-    if len(text):
+    # Runs of chunks of BLOCK bytes: temporaries don't grow with the text.
+    cut = np.unique(np.searchsorted(start, np.arange(0, len(data) + BLOCK, BLOCK)))
+    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        low, high = start[i], start[j - 1] + length[j - 1]
         # The power of a byte is that of its distance from its chunk's end.
-        place = np.arange(len(data)) - np.repeat(start + length - CHUNK, length)
-        wide = data.astype(np.uint64) + np.uint64(1)
+        place = np.arange(low, high) - np.repeat(start[i:j] + length[i:j] - CHUNK, length[i:j])
+        wide = data[low:high].astype(np.uint64) + np.uint64(1)
         for k, p in enumerate(PRIMES):
-            hashes[k] = np.add.reduceat(wide * _CHUNK_POWERS[k][place], start) % p
+            hashes[k, i:j] = np.add.reduceat(wide * _CHUNK_POWERS[k][place], start[i:j] - low) % p
     return hashes, length, first
 
 
+def _text_key() -> Column:
+    """A hash of the text as it stands, by which rows are found again."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, the fingerprint (f1, f2, n_bytes) and text_sha256 of each row's text, A-Z lower-cased."""
+    """doc_id, text_key, the fingerprint (f1, f2, n_bytes) and text_sha256 of each row's text, A-Z lower-cased."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            for i, j, data, offsets in text_slices(batch.column(1)):
+            for i, j, data, offsets in text_slices(batch.column(2)):
                 data = LOWER[data]
                 f = combine(*chunk_hashes(data, offsets))
+                packed = [pa.array((f[a] << np.uint64(31) | f[b]).astype(np.int64)) for a, b in ((0, 1), (2, 3))]
                 raw, at = memoryview(data), offsets.tolist()
                 sha = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)]
-                packed = [(f[a] << np.uint64(31) | f[b]).astype(np.int64) for a, b in ((0, 1), (2, 3))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, packed), pa.array(np.diff(offsets)), pa.array(sha)], ["doc_id", *FINGERPRINT, "text_sha256"])
+                kept = [batch.column(k).slice(i, j - i) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*kept, *packed, pa.array(np.diff(offsets)), pa.array(sha)], ["doc_id", "text_key", *FINGERPRINT, "text_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, f1 long, f2 long, n_bytes long, text_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), _text_key(), "text").mapInArrow(lean(run), "doc_id long, text_key long, f1 long, f2 long, n_bytes long, text_sha256 string")
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """Each row's fingerprint with the chunks of its text, numbered."""
+def _chunks(texts: DataFrame) -> DataFrame:
+    """The chunks of each text, numbered, with the text's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            data, offsets = text_buffers(batch.column(0))
-            names = batch.schema.names[1:]
-            for i in range(batch.num_rows):
-                text = LOWER[data[offsets[i] : offsets[i + 1]]].tobytes()
-                cut = [text[k : k + CHUNK] for k in range(0, len(text), CHUNK)]
-                if cut:
-                    same = pa.array(np.full(len(cut), i))
-                    yield pa.RecordBatch.from_arrays([*(c.take(same) for c in batch.columns[1:]), pa.array(np.arange(len(cut)), pa.int32()), pa.array(cut, pa.binary())], [*names, "nth", "chunk"])
+            for i, j, data, offsets in text_slices(batch.column(0)):
+                data, at = LOWER[data], offsets.tolist()
+                marks = [batch.column(k).slice(i, j - i) for k in (1, 2, 3)]
+                for r, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+                    starts = range(a, b, CHUNK)
+                    for k in range(0, len(starts), CHUNKS_OUT):
+                        cut = [data[x : min(b, x + CHUNK)].tobytes() for x in starts[k : k + CHUNKS_OUT]]
+                        same = pa.array(np.full(len(cut), r))
+                        yield pa.RecordBatch.from_arrays([*(c.take(same) for c in marks), pa.array(np.arange(k, k + len(cut)), pa.int32()), pa.array(cut, pa.binary())], [*FINGERPRINT, "nth", "chunk"])
 
-    return docs.mapInArrow(run, "f1 long, f2 long, n_bytes long, nth int, chunk binary")
+    return texts.select("text", *FINGERPRINT).mapInArrow(lean(run), "f1 long, f2 long, n_bytes long, nth int, chunk binary")
 
 
 def unequal(docs: DataFrame, marks: DataFrame, groups: DataFrame) -> DataFrame:
     """The fingerprints that texts with different bytes share: chunkwise comparison of all rows whose fingerprint is not alone."""
     again = groups.filter((F.col("group_size") > 1) & (F.col("n_bytes") > 0)).select(*FINGERPRINT)
-    rows = marks.join(again, FINGERPRINT, "left_semi").select("doc_id", *FINGERPRINT)
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(rows, "doc_id").select("text", *FINGERPRINT)
+    # A text that meets another's key by chance is compared under both fingerprints; its group is then split by the texts themselves.
+    keys = written(marks.join(again, FINGERPRINT, "left_semi").select("text_key", *FINGERPRINT).distinct(), "texts-in-question")
+    texts = docs.select("text", _text_key().alias("text_key")).join(keys, "text_key")
     seen = _chunks(texts).groupBy(*FINGERPRINT, "nth").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     return seen.filter("low <> high").select(*FINGERPRINT).distinct()
 
@@ -153,8 +170,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_groups keeps."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), UPPER, LETTERS).cast("binary"), 256)
+    dropped = written(exact_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "dropped-copies")
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_anti")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +180,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LETTERS}')"
 
 QUERIES = {"op5_exact_dedup": op5_exact_dedup}
 ORACLES = {

@@ -1,6 +1,6 @@
 """Language identification, word by word, with a linear-chain conditional random field.
 
-Words are letter runs, lower-cased. A word's potential for each language is the sum of learned weights of
+Words are runs of ASCII letters and of bytes beyond ASCII, lower-cased. A word's potential for each language is the sum of learned weights of
 its affixes, its character n-grams and its own form (the lexicon), hashed into a fixed table; learned
 transitions couple neighbours, so that a word which could be of several languages follows its context and
 code-switched text is labelled piece by piece. Probabilities come from forward-backward over the whole
@@ -8,10 +8,14 @@ text. A text's language is the one with the greatest mean probability over its w
 
 Long texts cost no long loops: words are laid out in blocks, each block's product of transition matrices is
 taken for all blocks of a batch at once, the products are chained along each text, and the blocks are then
-filled in, again all at once. The outcome is that of word-by-word recursions.
+filled in, again all at once. The outcome is that of word-by-word recursions. A text of more than SEGMENT
+words is walked twice, segment by segment, with messages from its other segments.
+
+Learning takes windows of WINDOW words from all over the sampled texts, on the executors, and of each language
+the SAMPLE_WINDOWS with the least hashes; only they reach the driver.
 
 Cases: texts that are null or hold no letter are `und` with score 0, and so are all texts when there is
-nothing to learn from. Learning takes a bounded sample of texts of each language, and of each some windows.
+nothing to learn from; equal windows of a language count once, however often their rows are repeated.
 """
 
 from __future__ import annotations
@@ -23,17 +27,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timelode.llm._common import bucket_of, small_batches, table, text_slices
+from timelode.llm._common import bucket_of, lean, small_arrow, small_batches, table, text_slices
 from timelode.llm._words import _BYTE, NOT_LETTER, Words, _power, mix, scan
 
 BITS = 16
-#: Texts learned from, at most about so many for each language, chosen by a hash of their id.
-SAMPLE_PER_LANGUAGE = 500
-#: Words of a training window, and windows of a text at most, evenly spread over it.
-WINDOW, WINDOWS = 40, 6
+#: Texts whose windows are drawn from, about so many for each language, chosen by a hash of their id; windows of each language at most; languages at most, the most frequent ones.
+SAMPLE_PER_LANGUAGE, SAMPLE_WINDOWS, MOST_LANGUAGES = 500, 3000, 128
+#: Words of a training window.
+WINDOW = 40
+#: Words of a text that are looked at together.
+SEGMENT = 1 << 16
 EPOCHS, RATE, DECAY, BATCH = 4, 0.3, 1e-6, 64
 BLOCK = 32
 UNDETERMINED = "und"
@@ -85,39 +91,74 @@ class Field:
         sums = np.add.reduceat(self.weight[feature], np.searchsorted(owner, np.arange(len(starts)))) / np.sqrt(np.bincount(owner))[:, None]
         return sums[which]
 
-    def marginals(self, potentials: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """[words, languages] probabilities by forward-backward over the sequences first[i]:first[i+1]."""
+    def _laid_out(self, potentials: np.ndarray, first: np.ndarray):
+        """(grid, there, row, col, first block, products): words in blocks, and the product of each block's transitions."""
         move = np.exp(self.transition)
         e = np.exp(potentials - potentials.max(axis=1, keepdims=True))
         count, labels = np.diff(first), e.shape[1]
-        blocks = -(-count // BLOCK)
-        first_block = np.concatenate([[0], np.cumsum(blocks)])
+        first_block = np.concatenate([[0], np.cumsum(-(-count // BLOCK))])
         seq = np.repeat(np.arange(len(count)), count)
         nth = np.arange(len(seq)) - first[:-1][seq]
         row, col = first_block[:-1][seq] + nth // BLOCK, nth % BLOCK
         total = int(first_block[-1])
         grid, there = np.ones((total, BLOCK, labels)), np.zeros((total, BLOCK), bool)
         grid[row, col], there[row, col] = e, True
-        unit = lambda x, axes: x / x.sum(axis=axes, keepdims=True)
         product = np.broadcast_to(np.eye(labels), (total, labels, labels)).copy()
         for t in range(BLOCK):
-            step = unit((product @ move) * grid[:, t, None, :], (1, 2))
+            step = _unit((product @ move) * grid[:, t, None, :], (1, 2))
             product = np.where(there[:, t, None, None], step, product)
+        return grid, there, row, col, first_block, product
+
+    def product(self, potentials: np.ndarray) -> np.ndarray:
+        """The product of all transitions of one sequence, up to a factor."""
+        *_, product = self._laid_out(potentials, np.array([0, len(potentials)]))
+        out = product[0]
+        for p in product[1:]:
+            out = _unit(out @ p, (0, 1))
+        return out
+
+    def marginals(self, potentials: np.ndarray, first: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
+        """[words, languages] probabilities by forward-backward over the sequences first[i]:first[i+1]; before and after are messages from beyond their ends."""
+        move = np.exp(self.transition)
+        grid, there, row, col, first_block, product = self._laid_out(potentials, first)
+        total, labels, blocks = len(grid), grid.shape[2], np.diff(first_block)
         enter, leave = np.full((total, labels), 1 / labels), np.full((total, labels), 1 / labels)
+        if before is not None:
+            enter[first_block[:-1]] = before
+        if after is not None:
+            leave[first_block[1:] - 1] = after
         for k in range(1, int(blocks.max(initial=0))):
             b = first_block[:-1][blocks > k] + k
-            enter[b] = unit(np.einsum("bi,bij->bj", enter[b - 1], product[b - 1]), 1)
+            enter[b] = _unit(np.einsum("bi,bij->bj", enter[b - 1], product[b - 1]), 1)
             b = first_block[1:][blocks > k] - 1 - k
-            leave[b] = unit(np.einsum("bij,bj->bi", product[b + 1], leave[b + 1]), 1)
+            leave[b] = _unit(np.einsum("bij,bj->bi", product[b + 1], leave[b + 1]), 1)
         ahead, back = np.empty_like(grid), np.empty_like(grid)
         a, z = enter, leave
         for t in range(BLOCK):
-            a = unit((a @ move) * grid[:, t], 1)
+            a = _unit((a @ move) * grid[:, t], 1)
             ahead[:, t] = a
             u = BLOCK - 1 - t
             back[:, u] = z
-            z = np.where(there[:, u, None], unit((grid[:, u] * z) @ move.T, 1), z)
-        return unit(ahead[row, col] * back[row, col], 1)
+            z = np.where(there[:, u, None], _unit((grid[:, u] * z) @ move.T, 1), z)
+        return _unit(ahead[row, col] * back[row, col], 1)
+
+    def long_sum(self, words: Words) -> np.ndarray:
+        """The sum of the words' probabilities of one long text, segment by segment."""
+        cut = [*range(0, len(words.starts), SEGMENT), len(words.starts)]
+        parts = [words.between(a, b) for a, b in zip(cut, cut[1:], strict=False)]
+        labels = len(self.languages)
+        even = np.full(labels, 1 / labels)
+        products = [self.product(self.potentials(p)) for p in parts]
+        before, after = [even], [even]
+        for p in products[:-1]:
+            before.append(_unit(before[-1] @ p, 0))
+        for p in products[:0:-1]:
+            after.append(_unit(p @ after[-1], 0))
+        return sum(self.marginals(self.potentials(p), np.array([0, len(p.starts)]), x, y).sum(axis=0) for p, x, y in zip(parts, before, after[::-1], strict=True))
+
+
+def _unit(x: np.ndarray, axes) -> np.ndarray:
+    return x / x.sum(axis=axes, keepdims=True)
 
 
 def learn(texts: list[str], langs: list[str], seed: int = 5) -> Field:
@@ -137,10 +178,8 @@ def learn(texts: list[str], langs: list[str], seed: int = 5) -> Field:
         at = np.searchsorted(owner, np.arange(len(starts) + 1))
         for d in range(len(offsets) - 1):
             a, b = words.first[d : d + 2]
-            for s in sorted({int(a + x) for x in np.linspace(0, max(0, b - a - WINDOW), WINDOWS)}):
-                w = which[s : min(b, s + WINDOW)]
-                if len(w):
-                    windows.append((feature, at, w, label[langs[i + d]]))
+            for s in range(a, b, WINDOW):
+                windows.append((feature, at, which[s : min(b, s + WINDOW)], label[langs[i + d]]))
     square_w, square_t = np.full_like(field.weight, 1e-3), np.full_like(field.transition, 1e-3)
     for _ in range(EPOCHS):
         order = rng.permutation(len(windows))
@@ -206,21 +245,41 @@ def _expected(field: Field, potential: np.ndarray, first: np.ndarray) -> tuple[n
     return unary[seq, col], (joint * there[:, 1:, None, None]).sum(axis=(0, 1))
 
 
-def fit(docs: DataFrame, train: Column | None = None, per_language: int = SAMPLE_PER_LANGUAGE) -> Field:
-    """A field of a bounded sample of the documents that meet train and name a language."""
+def windows_of(texts: DataFrame) -> DataFrame:
+    """(lang, window): the texts (lang, text) cut into windows of WINDOW words, lower-cased."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            for i, j, data, offsets in text_slices(pc.utf8_lower(batch.column(1))):
+                words = scan(data, offsets, lower=False, parts=NOT_LETTER)
+                rows, found = [], []
+                for d, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
+                    for s in range(a, b, WINDOW):
+                        rows.append(i + d)
+                        found.append(data[words.starts[s] : words.ends[min(b, s + WINDOW) - 1]].tobytes().decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], ["lang", "window"])
+
+    return texts.select("lang", "text").mapInArrow(lean(run), "lang string, window string")
+
+
+def fit(docs: DataFrame, train: Column | None = None, per_language: int = SAMPLE_PER_LANGUAGE, most: int = SAMPLE_WINDOWS) -> Field:
+    """A field of a bounded sample of windows of the documents that meet train and name a language."""
     train = bucket_of() != 0 if train is None else train
     own = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    # One row for each language.
-    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # One row for each of the most frequent languages.
+    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return Field([], np.zeros((1 << BITS, 0)), np.zeros((0, 0)))
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(per_language / n)).otherwise(share)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    some = own.filter(place < share).select("doc_id", "lang", "text").toArrow()
-    rows = sorted(zip(some["doc_id"].to_pylist(), some["lang"].to_pylist(), some["text"].to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    return learn([r[2] for r in rows], [r[1] for r in rows])
+    windows = windows_of(own.filter(place < share)).distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("window"), "window"))
+    with small_arrow(docs.sparkSession):
+        some = windows.withColumn("nth", nth).filter(F.col("nth") <= most).select("lang", "window").toArrow()
+    rows = sorted(zip(some["lang"].to_pylist(), some["window"].to_pylist(), strict=True))
+    return learn([r[1] for r in rows], [r[0] for r in rows])
 
 
 def _predict(field: Field, column: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -230,7 +289,9 @@ def _predict(field: Field, column: pa.Array) -> tuple[list[str], np.ndarray]:
     for i, j, data, offsets in text_slices(lowered):
         words = scan(data, offsets, parts=NOT_LETTER)
         mean = np.zeros((j - i, max(1, len(field.languages))))
-        if len(words.starts) and field.languages:
+        if field.languages and j - i == 1 and len(words.starts) > SEGMENT:
+            mean[0] = field.long_sum(words) / len(words.starts)
+        elif len(words.starts) and field.languages:
             p = field.marginals(field.potentials(words), words.first)
             some = np.flatnonzero(np.diff(words.first))
             mean[some] = np.add.reduceat(p, words.first[some]) / np.diff(words.first)[some, None]
@@ -246,6 +307,7 @@ def identified(docs: DataFrame, field: Field, text: str = "text") -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     @F.arrow_udf("lang string, score double")
+    @lean
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             langs, scores = _predict(shared.value, column)

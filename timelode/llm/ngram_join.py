@@ -6,19 +6,23 @@ and all that share one link in a star. Heavy sets go through inverted lists. A s
 first n - ceil(0.8 n) + 1 shingles in one fixed order, by which sets that link must meet in a list; the order
 puts shingles that repeat most over the corpus last, so that lists of common passages stay out of the way.
 
-Within lists, pairs are not spelled out. First each set is compared with its most promising of the centres
-that its lists have picked at random; what links is merged into components. Sets outside the largest component
-of a list are then compared with new centres from within it, for some rounds. Only for lists that still hold
-several components are the pairs between them formed, and of these only those with a member outside the
-list's largest component. Pairs are dropped early by size, by position, and by parity bitmaps, whose Hamming
-distance bounds the symmetric difference; the rest is compared exactly. None of this loses a link between
-different components, so components are exact.
+Lists are scanned in rounds. In the first, each set is compared with the nearest of its lists' centres, one
+to a list, and what links is merged into components. Then, in lists that hold several components, sets
+outside the list's largest one look for their nearest among new centres from within it; a component, not a
+set, has a few tries a round, and what links is an edge between two components. What rounds leave is settled
+exactly: the pairs of a list whose sets are still in different components, the largest one's members among
+themselves left out, in blocks of BLOCK_ROWS so that a list of any length is spread over tasks. Pairs are
+dropped early by size, by position, and by parity sketches, whose Hamming distance bounds the symmetric
+difference, in the condition of the join; the rest is compared exactly, on sets made anew from the texts in
+question. None of this loses a link between different components, so components are exact.
 
 Sets are identified by two 64-bit sums of mixed shingle hashes, and equal sets are one node, so copies cost
 nothing beyond their own shingles.
 
 Cases: null, empty and wordless texts have no shingles and link with nothing; fewer than five words make one
-shingle; rows of one doc_id count as one document; a null doc_id has a null component and links nothing.
+shingle; a null doc_id has a null component and links nothing; rows of one doc_id count as one document: each
+row's n_shingles is its own, but of several texts the greatest set (by size, then identity) speaks for the
+document, and all its rows get that one's component.
 """
 
 from __future__ import annotations
@@ -31,9 +35,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timelode.llm._common import batch_rows, discard, small_batches, table, text_slices, written
+from timelode.llm._common import discard, lean, small_batches, table, text_slices, written
 from timelode.llm._words import mix, scan, shingles
-from timelode.llm.components import components
+from timelode.llm.components import merged
 
 WORDS, PERCENT = 5, 80
 #: Repeated shingles that the order knows, at most: the most frequent ones. It bounds what is broadcast, not what is found.
@@ -42,15 +46,13 @@ HOT_ROWS = 500_000
 LIGHT_MOST = 9
 #: What a candidate comparison costs, in rows moved.
 COMPARISON = 40
-#: Centres that a set is compared with in the first round and in later ones, rounds at most.
-TRIES, LATER_TRIES, ROUNDS = 4, 48, 3
-#: In later rounds: centres of a list, and the length from which lists take part.
-CENTRES, LONG = 8, 24
-#: Rows of an Arrow batch that holds two sets a row.
-PAIR_ROWS = 256
+#: Rounds of centres; after the first: pairs that a component tries, centres of a list, and the length from which lists take part.
+ROUNDS, TRIES, CENTRES, LONG = 4, 4, 8, 24
+#: Rows of a list that one task compares with the others.
+BLOCK_ROWS = 2048
 FLAG_BITS = 23
-#: Words of the sketch that join conditions look at.
-SKETCH = 8
+#: 64-bit words of a sketch, and of the wider one that sets above WIDE_FROM have beside it.
+SKETCH, WIDE, WIDE_FROM = 8, 128, 512
 
 
 def need(n: int, m: int, percent: int = PERCENT) -> int:
@@ -104,7 +106,7 @@ def repeated(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
                 hashes = pa.array(np.append(u[many].astype(np.int64), 0), mask=np.append(np.zeros(many.sum(), bool), True))
                 yield pa.RecordBatch.from_arrays([hashes, pa.array(np.append(n[many], n.sum()).astype(np.int64))], ["h", "n"])
 
-    counts = written(docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "repeated-shingles")
+    counts = written(docs.select("text").mapInArrow(lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "repeated-shingles")
     # One row for each power of two.
     level = F.floor(F.log2("n")).cast("int")
     levels = {r.level: (r.rows, r.n) for r in counts.filter("h IS NOT NULL").groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()}
@@ -140,24 +142,11 @@ class Order:
         return out
 
 
-def bitmap(u: np.ndarray) -> bytes:
-    """Parities of a set's shingles in 1024 to 65536 cells, by its size."""
-    cells = 1024 if len(u) <= 2048 else 8192 if len(u) <= 16384 else 65536
-    return np.packbits(np.bincount((u & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).tobytes()
-
-
-def sketch(bits: bytes) -> np.ndarray:
-    """A bitmap folded to SKETCH words of 64 bits; its distances bound the symmetric difference as well."""
-    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, SKETCH), axis=0) if bits else np.zeros(0, np.uint64)
-
-
-def may_link(n: int, m: int, a: bytes, b: bytes) -> bool:
-    """Whether bitmaps allow two sets to link: their distance is at most the symmetric difference."""
-    if len(a) != len(b):
-        a, b = sorted((a, b), key=len)
-        b = np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, len(a)), axis=0).tobytes()
-    apart = (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
-    return (n + m - apart) >= 2 * need(n, m)
+def sketch(u: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """Parities of a set's shingles in 64 * words cells."""
+    cells = 64 * words
+    odd = np.bincount((u & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
 def _sets(batch_text: pa.Array, order: Order) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -177,32 +166,37 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).astype(np.int64) if arrays else np.zeros(0, np.int64)))
 
 
-META = "doc_id long, n_shingles long, s1 long, s2 long, bits binary, sketch array<long>, prefix array<long>, light array<long>"
+META = "doc_id long, n_shingles int, s1 long, s2 long, sketch array<long>, wide array<long>, prefix array<long>, light array<long>"
+IDENTITY = ["n_shingles", "s1", "s2"]
+
+
+def _identity(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, two sums of mixed hashes [2, sets]) of sets."""
+    n = np.array([len(u) for u in sets], np.int32)
+    sums, some = np.zeros((2, len(sets)), np.uint64), n > 0
+    if some.any():
+        flat, at = np.concatenate(sets), np.cumsum(n) - n
+        for k in range(2):
+            sums[k, some] = np.add.reduceat(mix(flat, 20 + k), at[some])
+    return n, sums.astype(np.int64)
 
 
 def described(docs: DataFrame, order, light: int) -> DataFrame:
-    """Of each document: the size and identity of its set, its bitmap, its prefix and, if it is light, the set itself."""
+    """Of each document: the size and identity of its set, its sketches, its prefix and, if it is light, the set itself."""
     none = np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Order(*order.value)
         for batch in small_batches(batches):
             for i, sets in _sets(batch.column(1), own):
-                n = np.array([len(u) for u in sets])
-                flat, at = np.concatenate(sets), np.cumsum(n) - n
-                sums = np.zeros((2, len(sets)), np.uint64)
-                some = n > 0
-                for k in range(2):
-                    if some.any():
-                        sums[k, some] = np.add.reduceat(mix(flat, 20 + k), at[some])
+                n, sums = _identity(sets)
                 listed = [u[: prefix(len(u))] if len(u) * 100 > PERCENT * light else none for u in sets]
-                bits = [bitmap(u) if len(p) else b"" for u, p in zip(sets, listed, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, len(sets)), pa.array(n), *(pa.array(s.astype(np.int64)) for s in sums), pa.array(bits, pa.binary()), _lists([sketch(b) for b in bits]), _lists(listed), _lists([u if len(u) <= light else none for u in sets])],
-                    [c.split()[0] for c in META.split(", ")],
-                )
+                columns = [batch.column(0).slice(i, len(sets)), pa.array(n), *map(pa.array, sums)]
+                columns += [_lists([sketch(u) if len(p) else none for u, p in zip(sets, listed, strict=True)]), _lists([sketch(u, WIDE) if len(p) and len(u) > WIDE_FROM else none for u, p in zip(sets, listed, strict=True)])]
+                columns += [_lists(listed), _lists([u if len(u) <= light else none for u in sets])]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in META.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, META)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), META)
 
 
 def light_edges(nodes: DataFrame, most: int) -> DataFrame:
@@ -227,7 +221,7 @@ def light_edges(nodes: DataFrame, most: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(side, pa.bool_()), pa.array(sums[0]), pa.array(sums[1])], ["node", "low", "high", "larger", "k1", "k2"])
 
     key = ["low", "high", "k1", "k2"]
-    rows = written(nodes.filter(F.size("light") > 0).select("node", "light").mapInArrow(run, "node long, low int, high int, larger boolean, k1 long, k2 long"), "subsets")
+    rows = written(nodes.filter(F.size("light") > 0).select("node", "light").mapInArrow(lean(run), "node long, low int, high int, larger boolean, k1 long, k2 long"), "subsets")
     least = rows.groupBy(*key).agg(F.min(F.when(~F.col("larger"), F.col("node"))).alias("small"), F.min(F.when(F.col("larger"), F.col("node"))).alias("large"), F.count(F.lit(1)).alias("n"))
     # Sets of unequal sizes link across only; sets of one size link with each other.
     least = written(least.filter("n > 1 AND (low = high OR (small IS NOT NULL AND large IS NOT NULL))"), "subset-stars")
@@ -235,64 +229,57 @@ def light_edges(nodes: DataFrame, most: int) -> DataFrame:
     return rows.join(least, key).select(F.col("node").alias("a"), partner.alias("b")).filter("a <> b").distinct()
 
 
-def _possible(x: str, y: str) -> Column:
-    """Whether sizes and positions in a shared list allow a link."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    left = F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos"))
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * left >= PERCENT * (n + m))
+def _apart(x: str, y: str) -> Column:
+    """The distance of sketches, a lower bound of the symmetric difference."""
+    return sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(SKETCH)), F.lit(0))
 
 
-def _near(x: str, y: str) -> Column:
-    """Whether sketches allow a link."""
-    apart = sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(SKETCH)), F.lit(0))
-    size = F.col(f"{x}.n") + F.col(f"{y}.n")
-    return apart <= size - 2 * F.ceil(PERCENT * size / (100 + PERCENT) - 1e-9)
+def _most_apart(n: Column, m: Column) -> Column:
+    """The greatest symmetric difference of linked sets of n and m."""
+    return n + m - 2 * F.ceil(PERCENT * (n + m) / (100 + PERCENT) - 1e-9)
 
 
-def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, order) -> DataFrame:
-    """The pairs (a, b) that link, as a written table: by bitmaps first, then exactly on the sets, made anew from the texts in question."""
-    spark = docs.sparkSession
+def _near(x: str, y: str, positions: bool = True) -> Column:
+    """Whether sizes, sketches and, of rows of one list, positions allow a link."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    fits = 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+    if positions:
+        left = F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos"))
+        fits = fits & ((100 + PERCENT) * left >= PERCENT * (n + m))
+    return fits & (_apart(x, y) <= _most_apart(n, m))
 
-    def by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(2, 6)]
-            yield batch.select(["a", "b"]).filter(pa.array([may_link(*x) for x in zip(*columns, strict=True)], pa.bool_()))
 
-    bits = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
-    kept = pairs.join(bits("a"), "a").join(bits("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(by_bits, "a long, b long")
-    kept = written(kept, "pairs")
-    if kept.isEmpty():
-        return spark.createDataFrame([], "a long, b long")
-    asked = written(kept.select(F.col("a").alias("node")).unionByName(kept.select(F.col("b").alias("node"))).distinct(), "pair-nodes")
+def _pair(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(F.col(f"{x}.node"), F.col(f"{y}.node")).alias("a"), F.greatest(F.col(f"{x}.node"), F.col(f"{y}.node")).alias("b")
+
+
+def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, order) -> DataFrame | None:
+    """Those of pairs (a, b) that link, as a written table; None where there are none. Sets are made anew from the texts in question."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Order(*order.value)
         for batch in small_batches(batches, 1024):
             for i, made in _sets(batch.column(1), own):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(made)), _lists(made)], ["node", "items"])
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, at = [], []
-            for k in (2, 3):
-                column = batch.column(k)
-                flat.append(np.asarray(column.flatten()).astype(np.uint64))
-                at.append(np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths()))]))
-            keep = []
-            for r in range(batch.num_rows):
-                a, b = (flat[k][at[k][r] : at[k][r + 1]] for k in (0, 1))
-                common = int((np.searchsorted(b, a, "right") - np.searchsorted(b, a, "left")).sum())
-                keep.append(100 * common >= PERCENT * (len(a) + len(b) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(made)), pa.array(_identity(made)[1][0]), _lists(made)], ["node", "s1", "items"])
 
+    wide = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}"))
+    both = (F.size("wide_a") > 0) & (F.size("wide_b") > 0)
+    far = F.aggregate(F.zip_with("wide_a", "wide_b", lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda s, v: s + v)
+    near = F.when(both, far <= _most_apart(F.col("n_a"), F.col("n_b"))).otherwise(True)
+    kept = written(pairs.join(wide("a"), "a").join(wide("b"), "b").filter(near).select("a", "b"), "pairs")
+    if kept.isEmpty():
+        return None
+    asked = written(kept.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair-nodes")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(asked, "node", "left_semi")
-    full = written(texts.mapInArrow(sets, "node long, items array<long>"), "sets")
+    # Of a repeated doc_id, only the text that speaks for it, once.
+    full = texts.mapInArrow(lean(sets), "node long, s1 long, items array<long>").join(nodes.select("node", "s1"), ["node", "s1"], "left_semi")
+    full = written(full.dropDuplicates(["node"]).select("node", "items"), "sets")
     side = lambda x: full.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}"))
-    with batch_rows(spark, PAIR_ROWS):
-        out = written(kept.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(exact, "a long, b long"), "links")
-    for used in (full, kept, asked):
+    links = (100 + PERCENT) * F.size(F.array_intersect("items_a", "items_b")) >= PERCENT * (F.size("items_a") + F.size("items_b"))
+    out = written(kept.join(side("a"), "a").join(side("b"), "b").filter(links).select("a", "b"), "links")
+    for used in (full, asked, kept):
         discard(used)
-    return out
+    return None if out.isEmpty() else out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -301,82 +288,78 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hashes, counts, share = repeated(docs)
     light = boundary(share)
     order = spark.sparkContext.broadcast((hashes, counts))
-    meta = written(described(docs, order, light), "shingle-sets")
-    identity = ["n_shingles", "s1", "s2"]
-    equal = written(meta.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*identity).agg(F.min("doc_id").alias("node")), "equal-sets")
-    heads = meta.join(equal.select("node"), meta.doc_id == equal.node, "left_semi").filter("n_shingles > 0")
-    nodes = heads.select(F.col("doc_id").alias("node"), F.col("n_shingles").cast("int").alias("n"), "bits", "sketch", "prefix", "light")
-    edges = [light_edges(nodes, light)] if light else []
-
-    postings = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
-    shared = written(postings.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("h"), "shared-lists")
-    lists = written(postings.join(shared, "h", "left_semi").select("h", "node", "n", "pos"), "inverted-lists")
-    centre = F.min(F.struct(F.xxhash64("node", "h").alias("place"), "node", "n", "pos")).alias("c")
-    centres = written(lists.groupBy("h").agg(centre).select("h", "c.node", "c.n", "c.pos"), "list-centres")
-    met = lists.alias("x").join(centres.alias("y"), "h").filter((F.col("x.node") != F.col("y.node")) & _possible("x", "y"))
-    done = written(_promising(met), "first-pairs")
-    if not done.isEmpty():
-        edges.append(linked(done, nodes, docs, order))
-    edge_table = written(_union(edges, spark), "edges")
-    labels = components(edge_table)
-    for k in range(2, ROUNDS + 1):
-        split = split_lists(lists, labels, nodes, LONG)
-        if split.isEmpty():
-            break
-        place = F.xxhash64("node", "h", F.lit(k))
-        within = split.filter("comp = main").groupBy("h", F.pmod(place, F.lit(CENTRES))).agg(F.min(F.struct(place.alias("place"), "node", "n", "pos", "sketch")).alias("c"))
-        centres = written(within.select("h", "c.node", "c.n", "c.pos", "c.sketch"), "list-centres")
-        met = split.filter("comp <> main").alias("x").join(centres.alias("y"), "h").filter(_possible("x", "y") & _near("x", "y"))
-        more = written(_promising(met, done, LATER_TRIES), "more-pairs")
-        found = linked(more, nodes, docs, order)
-        done = done.unionByName(more)
-        if found.isEmpty():
+    meta = written(described(docs, order, light).withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
+    speaks = F.max(F.struct(*IDENTITY, "row")).alias("m")
+    own = written(meta.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(speaks).select("doc_id", "m.*"), "own-sets")
+    head = F.min(F.struct("doc_id", "row")).alias("k")
+    equal = written(own.groupBy(*IDENTITY).agg(head).select(*IDENTITY, F.col("k.doc_id").alias("node"), F.col("k.row").alias("row")), "equal-sets")
+    heads = meta.drop(*IDENTITY).join(equal, "row").withColumn("n", F.col("n_shingles"))
+    nodes = written(heads.select("node", "n", "s1", "sketch", "wide"), "nodes")
+    labels = None
+    if light:
+        links = written(light_edges(heads.select("node", "light"), light), "light-links")
+        labels = None if links.isEmpty() else merged(None, links)
+
+    postings = heads.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
+    shared = postings.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("centre")).filter("size > 1")
+    lists = written(postings.join(shared, "h").select("h", "node", "n", "pos", "centre"), "inverted-lists")
+    done = spark.createDataFrame([], "a long, b long")
+    for k in range(ROUNDS):
+        pairs = written(_nearest_centres(lists, nodes) if not k else _among_components(split_lists(lists, labels, nodes, LONG), done, k), "centre-pairs")
+        found, done = linked(pairs, nodes, docs, order), done.unionByName(pairs)
+        if found is None:
             break
-        edge_table = edge_table.unionByName(found)
-        labels = components(edge_table)
+        labels = merged(labels, found)
     rest = written(remaining(split_lists(lists, labels, nodes), done), "remaining-pairs")
-    if not rest.isEmpty():
-        labels = components(edge_table.unionByName(linked(rest, nodes, docs, order)))
-    own = written(equal.join(labels, "node", "left").select(*identity, F.coalesce("label", "node").alias("component")), "set-components")
-    out = meta.select("doc_id", *identity).join(own, identity, "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-
-
-def _union(parts: list[DataFrame], spark: SparkSession) -> DataFrame:
-    out = spark.createDataFrame([], "a long, b long")
-    for p in parts:
-        out = out.unionByName(p)
-    return out
-
-
-def _promising(met: DataFrame, done: DataFrame | None = None, tries: int = TRIES) -> DataFrame:
-    """Of pairs x, y that met in lists, so many of each x that met most often, as (a, b) with a < b; those in done are left out first."""
-    a, b = F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
-    pairs = met.select(F.col("x.node").alias("x"), a, b).groupBy("x", "a", "b").agg(F.count(F.lit(1)).alias("times"))
-    if done is not None:
-        pairs = pairs.join(done, ["a", "b"], "left_anti")
-    best = Window.partitionBy("x").orderBy(F.desc("times"), "a", "b")
-    return pairs.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= tries).select("a", "b").distinct()
-
-
-def split_lists(lists: DataFrame, labels: DataFrame, nodes: DataFrame, least: int = 2) -> DataFrame:
-    """(h, node, n, pos, comp, main, sketch): the lists of at least so many sets that hold several components, with each row's component and the list's largest."""
-    rows = written(lists.join(labels, "node", "left").select("h", "node", "n", "pos", F.coalesce("label", "node").alias("comp")), "labelled-lists")
+    if (found := linked(rest, nodes, docs, order)) is not None:
+        labels = merged(labels, found)
+    out = meta.select("doc_id", "n_shingles")
+    of_set = equal.withColumn("label", F.col("node")) if labels is None else equal.join(labels, "node", "left")
+    of_set = of_set.select(*IDENTITY, F.coalesce("label", "node").alias("component"))
+    of_doc = own.join(of_set, IDENTITY).select("doc_id", "component")
+    return out.join(of_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _nearest_centres(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): each set with the nearest, by sketches, of the centres of its lists that may link with it."""
+    met = lists.filter("node <> centre").select(F.col("node").alias("one"), "centre").distinct()
+    x, y = nodes.drop("wide").alias("x"), nodes.drop("wide").alias("y")
+    met = met.join(x, F.col("one") == F.col("x.node")).join(y, F.col("centre") == F.col("y.node")).filter(_near("x", "y", positions=False))
+    best = met.groupBy("one").agg(F.min(F.struct(_apart("x", "y").alias("apart"), "centre")).alias("best"))
+    return best.select(F.least("one", "best.centre").alias("a"), F.greatest("one", "best.centre").alias("b")).distinct()
+
+
+def _among_components(split: DataFrame, done: DataFrame, k: int) -> DataFrame:
+    """(a, b) not in done: of each component, the nearest TRIES pairs with centres from the largest components of its lists, other ones in each round k."""
+    place = F.xxhash64("node", "h", F.lit(k))
+    within = split.filter("comp = main").groupBy("h", F.pmod(place, F.lit(CENTRES)).alias("nth")).agg(F.min(F.struct(place.alias("place"), "node", "n", "pos", "sketch")).alias("c"))
+    centres = written(within.select("h", "c.node", "c.n", "c.pos", "c.sketch"), "list-centres")
+    met = split.filter("comp <> main").alias("x").join(centres.alias("y"), "h").filter(_near("x", "y"))
+    met = met.select("x.comp", _apart("x", "y").alias("apart"), *_pair("x", "y")).distinct().join(done, ["a", "b"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("comp").orderBy("apart", "a", "b"))
+    return met.withColumn("nth", nth).filter(F.col("nth") <= TRIES).select("a", "b").distinct()
+
+
+def split_lists(lists: DataFrame, labels: DataFrame | None, nodes: DataFrame, least: int = 2) -> DataFrame:
+    """(h, node, n, pos, comp, main, blocks, sketch): the lists of at least so many sets that hold several components, with each row's component, the list's largest, and how many blocks of BLOCK_ROWS it makes."""
+    rows = lists.select("h", "node", "n", "pos")
+    rows = rows.withColumn("comp", F.col("node")) if labels is None else rows.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+    rows = written(rows, "labelled-lists")
     sizes = rows.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("h").agg(F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("size").alias("all"))
-    several = written(largest.filter((F.col("comps") > 1) & (F.col("all") >= least)).select("h", F.col("top.comp").alias("main")), "split-lists")
-    out = rows.join(several, "h").join(nodes.select("node", "sketch"), "node").select("h", "node", "n", "pos", "comp", "main", "sketch")
+    several = largest.filter((F.col("comps") > 1) & (F.col("all") >= least)).select("h", F.col("top.comp").alias("main"), F.ceil(F.col("all") / BLOCK_ROWS).cast("int").alias("blocks"))
+    out = rows.join(several, "h").join(nodes.select("node", "sketch"), "node").select("h", "node", "n", "pos", "comp", "main", "blocks", "sketch")
     out = written(out, "split-list-rows")
     discard(rows)
-    discard(several)
     return out
 
 
 def remaining(split: DataFrame, done: DataFrame) -> DataFrame:
-    """The pairs between components that still meet in lists, without those in done. At least one of a pair is outside its list's largest component."""
-    met = split.filter("comp <> main").alias("x").join(split.alias("y"), "h").filter((F.col("x.comp") != F.col("y.comp")) & _possible("x", "y") & _near("x", "y"))
-    pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    return pairs.join(done, ["a", "b"], "left_anti")
+    """The pairs between components that still meet in lists, without those in done. At least one of a pair is outside its list's largest component; it stays in its block, and the other goes to all blocks of the list."""
+    x = split.filter("comp <> main").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    y = split.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = x.alias("x").join(y.alias("y"), ["h", "block"]).filter((F.col("x.comp") != F.col("y.comp")) & _near("x", "y"))
+    return met.select(*_pair("x", "y")).distinct().join(done, ["a", "b"], "left_anti")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timelode.llm._common import small_batches, table, written
+from timelode.llm._common import lean, small_batches, table, written
 from timelode.llm.bpe import TOKENIZER, encoded_slices
 
 CAPACITY = 1024
@@ -69,7 +69,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, toke
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), PIECES + (", ids array<int>" if with_ids else ""))
 
 
 class CapacityTree:
@@ -165,7 +165,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     numbered = cut.join(counts.select("part", "length", "base"), ["part", "length"]).select(*kept, (F.col("nth") + F.col("base")).alias("number"))
     from pyspark.sql.types import LongType, StructField, StructType
 
-    return numbered.mapInArrow(place, StructType([*numbered.schema.fields[:-1], StructField("sequence_id", LongType()), StructField("offset", LongType())]))
+    return numbered.mapInArrow(lean(place), StructType([*numbered.schema.fields[:-1], StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

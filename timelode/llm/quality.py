@@ -5,7 +5,8 @@ numpy. Trees are grown level by level on histograms of binned statistics and log
 into arrays (statistic, threshold, children, value) that a batch walks down together.
 
 Cases: null, empty and wordless texts have statistics of zero and get that leaf's score; labels without a
-text, or null, teach nothing; with no labelled rows at all every score is 0.5.
+text, or null, teach nothing; an id with several labels counts with the greatest, one with several texts with
+the greatest by order, once; with no labelled rows at all every score is 0.5.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelode.llm._common import bucket_of, small_batches, table, text_slices
-from timelode.llm._words import SPACE, mix, scan
+from timelode.llm._common import bucket_of, lean, small_arrow, small_batches, table, text_slices
+from timelode.llm._words import BLOCK, SPACE, mix, scan
 from timelode.llm.toxicity import labelled_sample
 
-#: Labelled rows that the trees are grown on, at most; chosen by a hash of their id.
+#: Labelled ids that the trees are grown on, at most; chosen by a hash of the id.
 SAMPLE_ROWS = 20_000
 BINS, DEPTH, TREES, RATE, LEAST_HESSIAN, RIDGE = 64, 4, 80, 0.15, 3.0, 1.0
 HELD_OUT = 2
@@ -55,8 +56,11 @@ def _distinct(hashes: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """[texts, len(NAMES)] statistics of texts."""
     docs, size = len(offsets) - 1, np.diff(offsets).astype(float)
-    row = np.repeat(np.arange(docs), np.diff(offsets))
-    share = np.bincount(row * CLASSES + _CLASS[data], minlength=docs * CLASSES).reshape(docs, CLASSES)[:, 1:] / np.maximum(size, 1)[:, None]
+    counts = np.zeros(docs * CLASSES, np.int64)
+    for a in range(0, len(data), BLOCK):
+        row = np.repeat(np.arange(docs), np.diff(np.clip(offsets, a, a + BLOCK)))
+        counts += np.bincount(row * CLASSES + _CLASS[data[a : a + BLOCK]], minlength=docs * CLASSES)
+    share = counts.reshape(docs, CLASSES)[:, 1:] / np.maximum(size, 1)[:, None]
     words = scan(data, offsets, lower=False, parts=SPACE)
     h, doc, n = words.hashes(), words.doc, np.diff(words.first).astype(float)
     length = (words.ends - words.starts).astype(float)
@@ -170,12 +174,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train: Colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            for i, j, data, offsets in text_slices(batch.column(0)):
+            for i, j, data, offsets in text_slices(batch.column(1)):
                 x = statistics(data, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), lists], ["y", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, j - i), lists], ["y", "x"])
 
-    got = labelled_sample(docs, labels, label, train, rows).mapInArrow(run, "y int, x array<double>").toArrow()
+    with small_arrow(docs.sparkSession):
+        got = labelled_sample(docs, labels, label, train, rows).mapInArrow(lean(run), "y int, x array<double>").toArrow()
     if not got.num_rows:
         return grow(np.zeros((0, len(NAMES))), np.zeros(0))
     y, x = got["y"].to_numpy().astype(float), got["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES))
@@ -188,6 +193,7 @@ def scored(docs: DataFrame, model: Forest, text: str = "text") -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
+    @lean
     def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         for column in columns:

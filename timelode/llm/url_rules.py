@@ -6,6 +6,10 @@ confidence make an inverted index from token to rule; a URL fits a rule when it
 join on tokens and a count tell. The index is joined to the distinct token sets only, so a host with a third
 of all pages costs as much as any.
 
+Tokens that always occur together on labelled pages, such as the keys of a tracking query, are one item to
+FP-growth, whose patterns would double with each of them otherwise. Of such tokens each alone makes the same
+rules, so a rule asks for any one of an item's tokens: what is blocked is what the unmerged rules would block.
+
 Built-in functions and spark.ml only, no Python on executors. Cases: null URLs, and those without `://`,
 have empty host and path, fit no given rule, and are allowed unless mined rules on their tokens say else;
 pages without a usable label teach nothing; with nothing to learn from all open pages are allowed.
@@ -23,8 +27,8 @@ from timelode.llm._common import table, written
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Least share, and least number, of labelled pages that hold a rule; least share of them that are to be blocked.
-SUPPORT, LEAST_PAGES, CONFIDENCE = 0.01, 10, 0.6
+#: Least share, and least number, of labelled pages that hold a rule; least share of them that are to be blocked. The share is a floor for the cost of mining on very many pages.
+SUPPORT, LEAST_PAGES, CONFIDENCE = 0.0005, 10, 0.6
 BLOCK_ITEM = "label:block"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,23 +64,40 @@ def tokens(url: str = "url") -> Column:
     return F.sort_array(F.array_distinct(F.concat(named("scheme:", F.array(scheme)), named("host:", F.split("host", r"\.")), named("path:", F.split(fold(F.col("path")), "[/.]")), named("key:", keys), named("fragment:", F.array(fold(fragment))))))
 
 
+def merged_tokens(baskets: DataFrame) -> DataFrame:
+    """(token, item) of the tokens of baskets (row, tokens): item is the least of the tokens that are on the same rows, told by their number and two sums of hashes."""
+    marks = [F.sum(F.xxhash64("row", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
+    where = baskets.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), *marks)
+    least = where.groupBy("n", "s1", "s2").agg(F.min("token").alias("item"))
+    return where.join(least, ["n", "s1", "s2"]).select("token", "item")
+
+
 def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST_PAGES) -> DataFrame | None:
-    """(rule_id, antecedent) of the rules that end in a block, from labelled (tokens, block); None without labelled pages."""
-    baskets = written(labelled.select(F.when(F.col("block"), F.concat("tokens", F.array(F.lit(BLOCK_ITEM)))).otherwise(F.col("tokens")).alias("items")), "baskets")
+    """(rule_id, need, item, token): the inverted index of the rules that end in a block, with how many items each needs, from labelled (tokens, block); None where there are none."""
+    baskets = written(labelled.select("tokens", "block").withColumn("row", F.monotonically_increasing_id()), "baskets")
     n = baskets.count()
     if not n:
         return None
+    items = written(merged_tokens(baskets), "url-items")
+    bought = baskets.select("row", "block", F.explode("tokens").alias("token")).join(items.filter("token = item"), "token")
+    bought = bought.groupBy("row", "block").agg(F.collect_set("item").alias("items"))
+    bought = written(bought.select(F.when(F.col("block"), F.concat("items", F.array(F.lit(BLOCK_ITEM)))).otherwise(F.col("items")).alias("items")), "url-baskets")
+    if bought.isEmpty():
+        return None
     share = min(1.0, max(support, least / n))
-    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(bought)
     rules = model.associationRules.filter((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BLOCK_ITEM))
-    return written(rules.select(F.sort_array("antecedent").alias("antecedent")).withColumn("rule_id", F.xxhash64("antecedent")), "mined-rules")
+    rules = written(rules.select(F.sort_array("antecedent").alias("antecedent")).withColumn("rule_id", F.xxhash64("antecedent")), "mined-rules")
+    if rules.isEmpty():
+        return None
+    index = rules.select("rule_id", F.size("antecedent").alias("need"), F.explode("antecedent").alias("item")).join(items, "item")
+    return written(index.select("rule_id", "need", "item", "token"), "rule-index")
 
 
-def blocked_sets(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """The distinct signatures of sets (signature, tokens) that hold all tokens of some rule, by an inverted index from tokens to rules."""
-    index = rules.select("rule_id", F.size("antecedent").alias("need"), F.explode("antecedent").alias("token"))
+def blocked_sets(sets: DataFrame, index: DataFrame) -> DataFrame:
+    """The distinct signatures of sets (signature, tokens) that hold a token of every item of some rule, by an inverted index (rule_id, need, item, token)."""
     distinct = sets.select("signature", "tokens").dropDuplicates(["signature"])
-    met = distinct.select("signature", F.explode("tokens").alias("token")).join(index, "token")
+    met = distinct.select("signature", F.explode("tokens").alias("token")).join(index, "token").select("signature", "rule_id", "need", "item").distinct()
     return met.groupBy("signature", "rule_id", "need").agg(F.count(F.lit(1)).alias("has")).filter("has = need").select("signature").distinct()
 
 
@@ -86,7 +107,7 @@ def judged(pages: DataFrame, labelled: DataFrame, rules=RULES) -> DataFrame:
     name, verdict = rule_for(rules)
     out = with_host_path(pages.select("page_id", "url")).withColumns({"tokens": tokens(), "rule": name, "given": verdict}).withColumn("signature", F.concat_ws("\n", "tokens"))
     found = mined_rules(keyed(labelled))
-    if found is None or found.isEmpty():
+    if found is None:
         open_verdict = F.lit("allow")
     else:
         bad = written(blocked_sets(out.filter(F.col("given").isNull()), found), "blocked-sets").withColumn("bad", F.lit(True))
@@ -100,7 +121,7 @@ def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.filter(F.col("doc_id").isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull()))
     known = written(known.groupBy("doc_id").agg(F.max(fact).alias("block")), "page-labels")
     number = F.expr("try_cast(regexp_extract(path, '/([0-9]+)', 1) AS bigint)")
-    return with_host_path(pages.select("url")).select("url", number.alias("doc_id")).join(known, "doc_id").select("url", "block")
+    return with_host_path(pages.select("url")).select("url", number.alias("doc_id")).join(known.hint("merge"), "doc_id").select("url", "block")
 
 
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
