@@ -146,7 +146,7 @@ def unequal(docs: DataFrame, marks: DataFrame, groups: DataFrame) -> DataFrame:
     """The fingerprints that texts with different bytes share: chunkwise comparison of all rows whose fingerprint is not alone."""
     again = groups.filter((F.col("group_size") > 1) & (F.col("n_bytes") > 0)).select(*FINGERPRINT)
     # A text that meets another's key by chance is compared under both fingerprints; its group is then split by the texts themselves.
-    keys = written(marks.join(again, FINGERPRINT, "left_semi").select("text_key", *FINGERPRINT).distinct(), "texts-in-question")
+    keys = written(marks.select("text_key", *FINGERPRINT).distinct().join(again, FINGERPRINT, "left_semi"), "texts-in-question")
     texts = docs.select("text", _text_key().alias("text_key")).join(keys, "text_key")
     seen = _chunks(texts).groupBy(*FINGERPRINT, "nth").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     return seen.filter("low <> high").select(*FINGERPRINT).distinct()
