@@ -10,6 +10,13 @@ SPECIAL_TOKENS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "[BOS]", "[EOS]"
 LONG_TERM_DAYS = 1080
 
 
+def supported(task: str) -> str:
+    """task, unless it is a laboratory task: generated tokens hold no laboratory values, so those can't be told zero-shot."""
+    if task.startswith("lab_"):
+        raise ValueError(f"{task}: laboratory values are no tokens, so there is no zero-shot evaluation")
+    return task
+
+
 def days_of(token: Column) -> Column:
     """Days that a token of elapsed time stands for: [DAY n], [WEEK n], [MONTH n], [LONG TERM]; 0 for all others."""
     number = lambda unit: F.regexp_extract(token, rf"\[{unit} (-?\d+)\]", 1).try_cast("int")

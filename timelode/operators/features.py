@@ -35,14 +35,13 @@ def age_feature(asked: DataFrame, births: DataFrame, train: DataFrame | None = N
 
 
 def as_vectors(counts: DataFrame, codes: DataFrame) -> DataFrame:
-    """Sparse vectors over the numbered codes (code, idx) of long counts."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.sql.functions import broadcast
-
-    size = codes.agg(F.max("idx")).first()[0] + 1
-    pairs = counts.join(broadcast(codes), "code").groupBy("patient_id", "prediction_time").agg(F.map_from_entries(F.collect_list(F.struct("idx", F.col("n").cast("double")))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return pairs.select("patient_id", "prediction_time", array_to_vector(dense).alias("features"))
+    """Sparse vectors over the numbered codes (code, idx) of long counts: what a row costs is its own codes, not the vocabulary."""
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    size = int(codes.agg(F.max("idx")).first()[0] or 0) + 1
+    vector = F.udf(lambda idx, n: SparseVector(size, idx, n), VectorUDT())
+    pairs = counts.join(codes, "code").groupBy("patient_id", "prediction_time").agg(F.sort_array(F.collect_list(F.struct("idx", F.col("n").cast("double").alias("n")))).alias("m"))
+    return pairs.select("patient_id", "prediction_time", vector("m.idx", "m.n").alias("features"))
 
 
 def numbered_codes(counts: DataFrame) -> DataFrame:

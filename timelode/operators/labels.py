@@ -16,9 +16,10 @@ def at_minutes(labels: DataFrame) -> DataFrame:
     return labels.withColumn("prediction_time", to_minute(F.col("prediction_time")))
 
 
-def one_per_patient(labels: DataFrame, seed: int = 97, keys: tuple[str, ...] = ("prediction_time", "value")) -> DataFrame:
-    """One label of each patient, that of the least hash."""
-    order = Window.partitionBy("patient_id").orderBy(F.xxhash64(F.lit(seed), "patient_id", *keys), *keys)
+def one_per_patient(labels: DataFrame, seed: int = 97) -> DataFrame:
+    """One label of each patient, that of the least MD5 of seed, patient, time and value."""
+    place = F.md5(F.concat_ws("|", F.lit(seed), "patient_id", F.date_format("prediction_time", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.col("value").cast("string")).cast("binary"))
+    order = Window.partitionBy("patient_id").orderBy(place, "prediction_time", "value")
     return labels.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
@@ -31,13 +32,6 @@ def one_per_patient_seeded(labels: DataFrame) -> DataFrame:
     return rows.join(chosen, ["patient_id", "_i"]).drop("_i", "_n")
 
 
-def top_n_by_hash(labels: DataFrame, n: int, seed: int) -> DataFrame:
-    """At most n labels of each patient by the seeded hash of their place."""
-    place = Window.partitionBy("patient_id").orderBy("prediction_time", "value")
-    rows = labels.withColumn("_i", F.row_number().over(place) - 1).withColumn("_h", random_num(seed, F.col("patient_id"), F.col("_i")))
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy("patient_id").orderBy("_h", "_i"))).filter(F.col("_r") <= n).drop("_i", "_h", "_r")
-
-
 def is_positive(value: Column, label_type: str) -> Column:
     """Positive labels: true, not 0, or more than 'No Finding' alone."""
     if label_type == "boolean":

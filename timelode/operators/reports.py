@@ -9,24 +9,26 @@ from pyspark.sql import functions as F
 
 #: Task groups and their tasks.
 TASK_GROUPS = {
-    "operational_outcomes": ["long_los", "readmission", "icu", "mimic4_los", "mimic4_mortality", "mimic4_readmission"],
+    "operational_outcomes": ["guo_los", "guo_readmission", "guo_icu", "mimic4_los", "mimic4_mortality", "mimic4_readmission"],
     "lab_values": ["lab_thrombocytopenia", "lab_hyperkalemia", "lab_hypoglycemia", "lab_hyponatremia", "lab_anemia"],
     "new_diagnoses": ["new_hypertension", "new_hyperlipidemia", "new_pancan", "new_celiac", "new_lupus", "new_acutemi"],
     "chexpert": ["chexpert"],
 }
 
 
-def matching(df: DataFrame, score: str | None = None, labeling_function: str | None = None, task_group: str | None = None, sub_tasks: list[str] | None = None, model_heads: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Rows that meet all filters given."""
+def matching(df: DataFrame, score: str | None = None, labeling_function: str | None = None, task_group: str | None = None, sub_tasks: list[str] | None = None, model_heads: list[tuple[str, str]] | None = None, groups: dict[str, list[str]] = TASK_GROUPS, ks: list[int] | None = None) -> DataFrame:
+    """Rows that meet all filters given; groups names the tasks of each task group."""
     tests: list[Column] = []
     if score is not None:
         tests.append(F.col("score") == score)
     if labeling_function is not None:
         tests.append(F.col("labeling_function") == labeling_function)
     if task_group is not None:
-        tests.append(F.col("labeling_function").isin(TASK_GROUPS[task_group]))
+        tests.append(F.col("labeling_function").isin(groups[task_group]))
     if sub_tasks is not None:
         tests.append(F.col("sub_task").isin(sub_tasks))
+    if ks is not None:
+        tests.append(F.col("k").isin(ks))
     if model_heads is not None:
         tests.append(reduce(lambda a, b: a | b, ((F.col("model") == m) & (F.col("head") == h) for m, h in model_heads), F.lit(False)))
     return reduce(lambda d, t: d.filter(t), tests, df)
@@ -96,30 +98,46 @@ def brier_by_bucket(rows: DataFrame) -> DataFrame:
 
 
 def ema(rows: DataFrame, keys: list[str], order: str, value: str, span: int = 10) -> DataFrame:
-    """Exponential moving average along order, of weight 2 / (span + 1), started at the first value."""
-    alpha = 2 / (span + 1)
-    step = lambda acc, v: F.struct((acc.x * (1 - alpha) + v[value] * alpha).alias("x"), F.concat(acc.out, F.array(F.struct(v[order].alias(order), (acc.x * (1 - alpha) + v[value] * alpha).alias("ema")))).alias("out"))
-    one = F.element_at("s", 1)
-    start = F.struct(one[value].alias("x"), F.array(F.struct(one[order].alias(order), one[value].alias("ema"))).alias("out"))
-    folded = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("s")).select(*keys, F.aggregate(F.slice("s", 2, F.size("s")), start, step, lambda a: a.out).alias("o"))
-    return folded.select(*keys, F.explode("o").alias("e")).select(*keys, f"e.{order}", "e.ema")
+    """Exponential moving average along order, of weight 2 / (span + 1), started at the first value; linear in a run's steps, one run a group."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(pdf):
+        pdf = pdf.sort_values([order, value])
+        return pdf[[*keys, order]].assign(ema=pdf[value].ewm(span=span, adjust=False).mean())
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*keys, order)), "ema double"])
+    return rows.select(*keys, order, F.col(value).cast("double").alias(value)).groupBy(*keys).applyInPandas(run, schema)
 
 
 def best_step(rows: DataFrame, keys: list[str], metric: str, split: str = "split") -> DataFrame:
-    """Rows of the runs (uuid) whose validation metric is their key's greatest."""
+    """Rows of the run (uuid) whose validation metric is its key's greatest; of runs that tie, all; best_run() keeps one."""
     top = F.max(metric).over(Window.partitionBy(*keys))
     winners = rows.filter(F.col(split) == "val").withColumn("_top", top).filter(F.col(metric) == F.col("_top")).select(*keys, "uuid")
     return rows.join(winners.distinct(), [*keys, "uuid"], "left_semi")
 
 
+def best_run(rows: DataFrame, keys: list[str], metric: str, split: str = "split") -> DataFrame:
+    """Rows of one run of each key: the one of the greatest validation metric, of runs that tie the one of the least uuid."""
+    scored = rows.filter((F.col(split) == "val") & F.col(metric).isNotNull()).groupBy(*keys, "uuid").agg(F.max(metric).alias("_m"))
+    best = Window.partitionBy(*keys).orderBy(F.desc("_m"), "uuid")
+    winners = scored.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(*keys, "uuid")
+    return rows.join(winners, [*keys, "uuid"], "left_semi")
+
+
 def histogram(rows: DataFrame, column: str, most: float, bins: int) -> DataFrame:
     """Counts in equal bins from 0 to most; what lies above counts in the last."""
     at = F.least(F.lit(bins - 1), F.floor(F.least(F.col(column), F.lit(most)) * bins / most)).cast("int")
     return rows.filter(F.col(column).isNotNull()).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def curve(means: DataFrame) -> DataFrame:
-    """Few-shot curves: all rows (k = -1) are drawn at twice the largest k."""
+#: The largest k that is drawn of tasks with few training rows.
+MOST_SHOTS = {"new_celiac": 64}
+
+
+def curve(means: DataFrame, most: dict[str, int] | None = None) -> DataFrame:
+    """Few-shot curves: all rows (k = -1) are drawn at twice the largest k. most bounds the k of some tasks."""
+    for task, k in (most or {}).items():
+        means = means.filter((F.col("labeling_function") != task) | (F.col("k") <= k))
     top = F.max(F.when(F.col("k") > 0, F.col("k"))).over(Window.partitionBy("labeling_function"))
     return means.withColumn("x", F.when(F.col("k") == -1, 2 * F.coalesce(top, F.lit(1))).otherwise(F.col("k")))
 
@@ -131,23 +149,41 @@ def against_full(means: DataFrame) -> DataFrame:
     return means.filter("k <> -1").join(full, keys).withColumn("difference", F.col("mean_value") - F.col("_full")).drop("_full")
 
 
+def stratified(preds: DataFrame, strata: DataFrame, keys: tuple[str, ...] = ("patient_id", "prediction_time")) -> DataFrame:
+    """preds with the columns of strata: one row of strata for each key, the least, so that repeats there multiply nothing; predictions without one are left out."""
+    others = [c for c in strata.columns if c not in keys]
+    one = strata.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_s")).select(*keys, *(F.col(f"_s.{c}").alias(c) for c in others))
+    return preds.join(one, list(keys))
+
+
+#: Rows that a rendered table may have.
+MOST_ROWS = 10_000
+
+
+def _report_rows(df: DataFrame) -> list:
+    rows = df.limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"a rendered table has at most {MOST_ROWS} rows")
+    return rows
+
+
 def markdown(df: DataFrame) -> str:
-    """A report table as Markdown; for tables of report size."""
-    rows = [[("" if v is None else str(v)) for v in r] for r in df.collect()]
+    """A report table as Markdown; refused beyond MOST_ROWS, as are the other two."""
+    rows = [[("" if v is None else str(v)) for v in r] for r in _report_rows(df)]
     line = lambda cells: "| " + " | ".join(cells) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])
 
 
 def latex(df: DataFrame) -> str:
-    """A report table as LaTeX; for tables of report size."""
+    """A report table as LaTeX."""
     esc = lambda v: ("" if v is None else str(v)).replace("_", r"\_").replace("%", r"\%").replace("±", r"$\pm$")
-    body = [" & ".join(map(esc, r)) + r" \\" for r in df.collect()]
+    body = [" & ".join(map(esc, r)) + r" \\" for r in _report_rows(df)]
     return "\n".join([r"\begin{tabular}{" + "l" * len(df.columns) + "}", " & ".join(map(esc, df.columns)) + r" \\ \hline", *body, r"\end{tabular}"])
 
 
 def html(df: DataFrame) -> str:
-    """A report table as HTML; for tables of report size."""
+    """A report table as HTML."""
     from html import escape
 
     row = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{escape('' if c is None else str(c))}</{tag}>" for c in cells) + "</tr>"
-    return "<table>\n" + "\n".join([row(df.columns, "th"), *(row(r, "td") for r in df.collect())]) + "\n</table>"
+    return "<table>\n" + "\n".join([row(df.columns, "th"), *(row(r, "td") for r in _report_rows(df))]) + "\n</table>"

@@ -99,3 +99,9 @@ def prediction_times(events: DataFrame, codes: DataFrame | list[str] | None = No
     found = events if codes is None else with_codes(events, codes)
     before = F.lag("start_time").over(Window.partitionBy("patient_id").orderBy("event_idx"))
     return found.withColumn("_before", before).filter(~F.col("start_time").eqNullSafe(F.col("_before"))).select("patient_id", F.col("start_time").alias("prediction_time"))
+
+
+def first_patients(events: DataFrame, n: int) -> DataFrame:
+    """The events of the n patients of the least ids: a limit on the distinct ids, then a semi join."""
+    ids = events.select("patient_id").distinct().orderBy("patient_id").limit(n)
+    return events.join(F.broadcast(ids), "patient_id", "left_semi") if n <= 100_000 else events.join(ids, "patient_id", "left_semi")

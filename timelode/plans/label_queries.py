@@ -330,7 +330,7 @@ def labels_one_per_patient_seeded(spark, sf):
     return labels.one_per_patient_seeded(label_long_los(spark, sf))
 
 
-query()(labels_one_per_patient)
+query(f"""{_W}, h AS (SELECT *, md5('97|' || patient_id || '|' || strftime(prediction_time, '%Y-%m-%d %H:%M:%S.%f') || '|' || CAST(value AS VARCHAR)) AS h FROM ({_LOS})), r AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY h, prediction_time, value) AS n FROM h) SELECT patient_id, prediction_time, value FROM r WHERE n = 1""")(labels_one_per_patient)
 query()(labels_one_per_patient_seeded)
 
 

@@ -249,7 +249,7 @@ def results_best_replicate(spark, sf):
 
 @query(f"{_RES} SELECT * FROM res WHERE score = 'auroc' AND labeling_function IN ('long_los', 'readmission') AND sub_task IN ('long_los') AND ((model = 'count' AND head = 'lr') OR (model = 'embed' AND head = 'gbm'))")
 def results_filtered(spark, sf):
-    return reports.matching(fx.results(spark, sf), "auroc", task_group="operational_outcomes", sub_tasks=["long_los"], model_heads=[("count", "lr"), ("embed", "gbm")])
+    return reports.matching(fx.results(spark, sf), "auroc", task_group="operational_outcomes", groups={"operational_outcomes": ["long_los", "readmission"]}, sub_tasks=["long_los"], model_heads=[("count", "lr"), ("embed", "gbm")])
 
 
 @query(f"{_RES}, m AS ({_MEANS}) SELECT labeling_function, sub_task, model, head, score, k, round(mean_value, 6) AS mean_value, CAST(CASE WHEN k = -1 THEN 2 * coalesce(max(k) FILTER (WHERE k > 0) OVER (PARTITION BY labeling_function), 1) ELSE k END AS INT) AS x FROM m")

@@ -48,17 +48,23 @@ def sample_stage(study: Study, sets: dict[str, DataFrame], splits: DataFrame) ->
     return shots.k_shots(rows, study.ks, study.replicates)
 
 
-def score_stage(study: Study, counts: DataFrame, sets: dict[str, DataFrame], splits: DataFrame, draws: int = 100) -> DataFrame:
-    """Scores, with bootstrap intervals, of a head fitted on all train rows of each task; only fitting loops on the driver."""
+def score_stage(study: Study, counts: DataFrame, sets: dict[str, DataFrame], splits: DataFrame, draws: int = 1000, samples: DataFrame | None = None) -> DataFrame:
+    """Scores, with bootstrap intervals, of heads fitted for each task: on each of its samples (of sample_stage) if given, else on all train rows, as k = -1. Only fitting loops on the driver, over sizes and replicates."""
     codes = features.numbered_codes(counts).persist()
     vectors = features.as_vectors(counts, codes)
     out = None
     for name, s in sets.items():
         rows = labels.with_split(s, splits).join(vectors, ["patient_id", "prediction_time"]).withColumn("y", F.col("value").cast("int").cast("double"))
-        model, _, _ = heads.fit_best(rows.filter("split = 'train'"), rows.filter("split = 'val'"), study.head, study.grid)
-        preds = heads.probability(model, rows.filter("split = 'test'")).select(F.lit(name).alias("sub_task"), "patient_id", "y", "pred")
-        one = metrics.bootstrap(preds, metrics.hashed_draws(preds.select("patient_id"), draws), ["sub_task"])
-        out = one if out is None else out.unionByName(one)
+        own = None if samples is None else samples.filter(F.col("sub_task") == name)
+        for k, replicate in [(-1, 0)] if own is None else [(r.k, r.replicate) for r in own.select("k", "replicate").distinct().orderBy("k", "replicate").collect()]:
+            drawn = lambda split: rows.filter(F.col("split") == split)
+            if own is not None:
+                one = own.filter((F.col("k") == k) & (F.col("replicate") == replicate)).withColumn("y", F.col("value").cast("double"))
+                drawn = lambda split, one=one: one.filter(F.col("split") == split).join(vectors, ["patient_id", "prediction_time"])
+            model, _, _ = heads.fit_best(drawn("train"), drawn("val"), study.head, study.grid)
+            preds = heads.probability(model, rows.filter("split = 'test'")).select(F.lit(name).alias("sub_task"), "patient_id", "y", "pred")
+            scored = metrics.bootstrap(preds, metrics.hashed_draws(preds.select("patient_id"), draws), ["sub_task"]).withColumns({"k": F.lit(k), "replicate": F.lit(replicate)})
+            out = scored if out is None else out.unionByName(scored)
     return out
 
 

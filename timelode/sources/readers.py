@@ -36,9 +36,14 @@ def labels_csv(spark: SparkSession, path: str, survival: bool = False) -> DataFr
 
 
 def label_tasks(spark: SparkSession, folder: str) -> DataFrame:
-    """All tasks of a folder laid out as task=<name>/labeled_patients.csv, with their name."""
-    raw = spark.read.schema(schema.LABEL_FILE + ", task string").option("header", True).option("basePath", folder).option("recursiveFileLookup", False).csv(f"{folder}/task=*")
-    return typed(raw).withColumn("task", F.regexp_extract(F.input_file_name(), r"task=([^/]+)/", 1))
+    """All tasks of a folder laid out as <name>/labeled_patients.csv, or task=<name>/..., with their name."""
+    raw = spark.read.schema(schema.LABEL_FILE).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(folder)
+    return typed(raw).withColumn("task", F.regexp_extract(F.input_file_name(), r"(?:task=)?([^/=]+)/[^/]+$", 1))
+
+
+def cohort_csvs(spark: SparkSession, paths: list[str], columns: str) -> DataFrame:
+    """Cohort files of the same columns, one below the other, with the file that each row is from."""
+    return spark.read.schema(columns).option("header", True).csv(paths).withColumn("source_file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
 
 
 def splits_csv(spark: SparkSession, path: str) -> DataFrame:

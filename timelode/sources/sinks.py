@@ -12,6 +12,20 @@ def labels_csv(labels: DataFrame, path: str, overwrite: bool = False) -> None:
     rows.orderBy("patient_id", "prediction_time", "value").write.mode("overwrite" if overwrite else "errorifexists").option("header", True).csv(path)
 
 
+def save_best(model, params: dict, preds: DataFrame, folder: str) -> None:
+    """A fitted head under folder: model, its parameters as JSON, and its predictions as Parquet."""
+    import json
+
+    model.write().overwrite().save(f"{folder}/model")
+    preds.sparkSession.createDataFrame([(json.dumps(params, sort_keys=True),)], "params string").coalesce(1).write.mode("overwrite").text(f"{folder}/params")
+    preds.write.mode("overwrite").parquet(f"{folder}/predictions")
+
+
+def vocabulary_json(tokens: DataFrame, value: str, path: str) -> None:
+    """token -> code or token -> description, as lines {"token", value} in the order of the tokens."""
+    tokens.select("token", value).orderBy("token").write.mode("overwrite").json(path)
+
+
 def upsert_results(existing: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("labeling_function", "sub_task", "model", "head", "replicate", "k", "score")) -> DataFrame:
     """existing with rows of new in place of those of the same key: no duplicates, whatever is run again."""
     return existing.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
