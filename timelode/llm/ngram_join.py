@@ -300,12 +300,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = written(light_edges(heads.select("node", "light"), light), "light-links")
         labels = None if links.isEmpty() else merged(None, links)
 
-    postings = heads.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
+    postings = heads.select("node", F.posexplode("prefix").alias("pos", "h"))
     shared = postings.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("centre")).filter("size > 1")
-    lists = written(postings.join(shared, "h").select("h", "node", "n", "pos", "centre"), "inverted-lists")
+    lists = written(postings.join(shared, "h").select("h", "node", "pos", "size", "centre"), "inverted-lists")
     done = spark.createDataFrame([], "a long, b long")
     for k in range(ROUNDS):
-        pairs = written(_nearest_centres(lists, nodes) if not k else _among_components(split_lists(lists, labels, nodes, LONG), done, k), "centre-pairs")
+        pairs = written(_nearest_centres(lists, nodes) if not k else _among_components(split_lists(lists.filter(F.col("size") >= LONG), labels, nodes), done, k), "centre-pairs")
         found, done = linked(pairs, nodes, docs, order), done.unionByName(pairs)
         if found is None:
             break
@@ -340,15 +340,15 @@ def _among_components(split: DataFrame, done: DataFrame, k: int) -> DataFrame:
     return met.withColumn("nth", nth).filter(F.col("nth") <= TRIES).select("a", "b").distinct()
 
 
-def split_lists(lists: DataFrame, labels: DataFrame | None, nodes: DataFrame, least: int = 2) -> DataFrame:
-    """(h, node, n, pos, comp, main, blocks, sketch): the lists of at least so many sets that hold several components, with each row's component, the list's largest, and how many blocks of BLOCK_ROWS it makes."""
-    rows = lists.select("h", "node", "n", "pos")
+def split_lists(lists: DataFrame, labels: DataFrame | None, nodes: DataFrame) -> DataFrame:
+    """(h, node, n, pos, comp, main, blocks, sketch): those of lists that hold several components, with each row's component, the list's largest, and how many blocks of BLOCK_ROWS it makes."""
+    rows = lists.select("h", "node", "pos")
     rows = rows.withColumn("comp", F.col("node")) if labels is None else rows.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
     rows = written(rows, "labelled-lists")
     sizes = rows.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("h").agg(F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("size").alias("all"))
-    several = largest.filter((F.col("comps") > 1) & (F.col("all") >= least)).select("h", F.col("top.comp").alias("main"), F.ceil(F.col("all") / BLOCK_ROWS).cast("int").alias("blocks"))
-    out = rows.join(several, "h").join(nodes.select("node", "sketch"), "node").select("h", "node", "n", "pos", "comp", "main", "blocks", "sketch")
+    several = largest.filter("comps > 1").select("h", F.col("top.comp").alias("main"), F.ceil(F.col("all") / BLOCK_ROWS).cast("int").alias("blocks"))
+    out = rows.join(several, "h").join(nodes.select("node", "n", "sketch"), "node").select("h", "node", "n", "pos", "comp", "main", "blocks", "sketch")
     out = written(out, "split-list-rows")
     discard(rows)
     return out
