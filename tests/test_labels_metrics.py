@@ -137,3 +137,37 @@ def test_report_text(spark):
     df = spark.createDataFrame([("a_b", 1)], "name string, n int")
     assert reports.markdown(df).splitlines()[-1] == "| a_b | 1 |"
     assert r"a\_b & 1 \\" in reports.latex(df) and "<td>a_b</td>" in reports.html(df)
+
+
+def test_curves_over_ranges_equal_a_plain_walk(spark):
+    rng = random.Random(3)
+    values = [-2.5, 0.0, 0.001, 0.5, 0.50001, 0.999, 1.0, 7.0, float("inf"), float("nan")]
+    rows = [(k, rng.choice([*values, rng.random()]), rng.randint(0, 1), float(rng.randint(1, 3))) for k in ("a", "b", None) for _ in range(80)]
+    rows += [("a", None, 1, 1.0), ("a", None, 0, 2.0), ("lone", 0.3, 1, 1.0)]
+    preds = spark.createDataFrame(rows, "model string, pred double, y int, w double")
+    place = lambda p: (-1, 0.0) if p is None else (1, 0.0) if p != p else (0, p)
+    got = {r.model: r.auroc for r in metrics.auroc(preds, ["model"], "w").collect()}
+    precision = {r.model: r.auprc for r in metrics.average_precision(preds, ["model"], "w").collect()}
+    assert set(got) == set(precision) == {"a", "b", None, "lone"} and got["lone"] is None and precision["lone"] == 1.0
+    for key in ("a", "b", None):
+        own = [(place(p), y, w) for k, p, y, w in rows if k == key]
+        pos, neg = [(p, w) for p, y, w in own if y], [(p, w) for p, y, w in own if not y]
+        area = sum(v * w * ((p > q) + (p == q) / 2) for p, v in pos for q, w in neg)
+        assert abs(got[key] - area / (sum(v for _, v in pos) * sum(w for _, w in neg))) < 1e-9
+        at = [(v, sum(w for q, w in pos if q >= p) / sum(w for q, _, w in own if q >= p)) for p, v in pos]
+        assert abs(precision[key] - sum(v * x for v, x in at) / sum(v for _, v in pos)) < 1e-9
+
+
+@pytest.mark.parametrize("keep_prevalence", [False, True])
+def test_samples_nest_and_repeat_small_classes(spark, keep_prevalence):
+    rows = [(t, "train", i, 0, v) for t, n in (("x", 40), (None, 7)) for i, v in enumerate([0] * n + [1] * 3)]
+    frame = spark.createDataFrame(rows, "sub_task string, split string, patient_id long, prediction_time int, value int")
+    got = shots.k_shots(frame, [2, 5, -1], 2, keep_prevalence=keep_prevalence).collect()
+    for task, n in (("x", 40), (None, 7)):
+        mine = lambda k, r, v: [x for x in got if (x.sub_task, x.k, x.replicate, x.value) == (task, k, r, v)]
+        for r in range(2):
+            for v, size in ((0, n), (1, 3)):
+                want = {k: max(1, 2 * k * size // (n + 3)) if keep_prevalence else k for k in (2, 5)}
+                assert all(len(mine(k, r, v)) == want[k] for k in (2, 5))
+                assert {x.patient_id for x in mine(2, r, v)} <= {x.patient_id for x in mine(5, r, v)}
+        assert len([x for x in got if x.sub_task == task and x.k == -1]) == n + 3

@@ -22,18 +22,18 @@ def test_moving_average_of_every_run(spark, tmp_path):
         last = want.get((user, step - 1))
         want[user, step] = loss if last is None else last * 9 / 11 + loss * 2 / 11
     want = {k: round(v, 6) for k, v in want.items()}
-    assert {(r.lr, r.step): r.ema for r in QUERIES["ema_loss_all_runs"](spark, str(tmp_path)).collect()} == want
+    assert {(r.lr, r.step): r.ema for r in QUERIES["ema_loss"](spark, str(tmp_path)).collect()} == want
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
-    assert {(lr, step): ema for lr, step, ema in duck.execute(ORACLES["ema_loss_all_runs"]).fetchall()} == want
+    assert {(lr, step): ema for lr, step, ema in duck.execute(ORACLES["ema_loss"]).fetchall()} == want
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["count_features_all_admissions", "count_features_with_ancestors_all_admissions", "age_feature_all_admissions"])
+@pytest.mark.parametrize("name", ["count_features", "count_features_with_ancestors", "age_feature"])
 def test_features_at_every_admission(spark, name):
     asked = timeline.admissions(fx.visits(spark, SF)).select("patient_id", F.col("end_time").alias("prediction_time")).distinct()
     events = fx.events(spark, SF)
-    if name == "count_features_with_ancestors_all_admissions":
+    if name == "count_features_with_ancestors":
         # Only asked times with a coded condition before them have counts.
         asked = asked.join(events.filter("code LIKE 'P/%'").groupBy("patient_id").agg(F.min("start_time").alias("first")), "patient_id").filter("first <= prediction_time").select("patient_id", "prediction_time")
     got = QUERIES[name](spark, SF).select("patient_id", "prediction_time").distinct()

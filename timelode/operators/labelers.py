@@ -161,10 +161,6 @@ class PandasLabeler(Labeler):
 # Operational outcomes
 
 
-def same_day(visits: DataFrame) -> Column:
-    return F.col("start_time").cast("date") == F.col("end_time").cast("date")
-
-
 def long_stay(events: DataFrame, days: int = 7) -> DataFrame:
     """At the end of each admission's first day: whether the stay lasts so many days; same-day stays have no label."""
     visits = timeline.admissions(events).filter(F.col("start_time").cast("date") != F.col("end_time").cast("date"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,20 +15,40 @@ def _by_score(preds: DataFrame, keys: list[str], weight: str | None) -> DataFram
     return preds.groupBy(*keys, "pred").agg(F.sum(F.when(F.col("y") == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("y") == 1, 0.0).otherwise(w)).alias("neg"))
 
 
+#: Ranges of scores that a key's curve is split into, so that no key is walked in one task.
+RANGES = 256
+
+
+def _in_ranges(rows: DataFrame) -> DataFrame:
+    """rows with the range of their score: ranges are equal parts of [0, 1], and what lies outside belongs to the outermost ones."""
+    place = F.greatest(F.lit(0.0), F.least(F.lit(RANGES - 1.0), F.col("pred") * RANGES))
+    return rows.withColumn("_range", F.when(F.col("pred").isNull(), 0).otherwise(F.floor(place).cast("int")))
+
+
 def auroc(preds: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
-    """Area under the ROC curve of (y, pred) for each key; ties count half. Null where a class is missing."""
-    rows = _by_score(preds, keys, weight)
-    below = Window.partitionBy(*keys).orderBy("pred").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_below", F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
-    area = F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))
-    return rows.groupBy(*keys).agg(area.alias("auroc"))
+    """Area under the ROC curve of (y, pred) for each key; ties count half. Null where a class is missing.
+
+    A positive's area is what lies below it in its range of scores, and all negatives of the ranges below.
+    """
+    rows = _in_ranges(_by_score(preds, keys, weight))
+    below = lambda *k: Window.partitionBy(*k).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_below", F.coalesce(F.sum("neg").over(below(*keys, "_range").orderBy("pred")), F.lit(0.0)))
+    parts = rows.groupBy(*keys, "_range").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / 2)).alias("_area"))
+    parts = parts.withColumn("_below", F.coalesce(F.sum("neg").over(below(*keys).orderBy("_range")), F.lit(0.0)))
+    area = F.sum(F.col("_area") + F.col("pos") * F.col("_below")) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))
+    return parts.groupBy(*keys).agg(area.alias("auroc"))
 
 
 def average_precision(preds: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
-    """Sum of precision times step of recall, from the highest score down."""
-    rows = _by_score(preds, keys, weight)
-    upto = Window.partitionBy(*keys).orderBy(F.desc("pred")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumns({"_tp": F.sum("pos").over(upto), "_all": F.sum(F.col("pos") + F.col("neg")).over(upto)})
+    """Sum of precision times step of recall, from the highest score down; each range of scores starts from the sums of those above."""
+    rows = _in_ranges(_by_score(preds, keys, weight))
+    above = Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, "_range").agg(F.sum("pos").alias("pos"), F.sum(F.col("pos") + F.col("neg")).alias("_n"))
+    start = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0.0))
+    starts = sums.select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.col("_range").alias("_of_range"), start("pos").alias("_tp0"), start("_n").alias("_n0"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys), F.col("_range") == F.col("_of_range"))
+    upto = Window.partitionBy(*keys, "_range").orderBy(F.desc("pred")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.join(starts, same).withColumns({"_tp": F.col("_tp0") + F.sum("pos").over(upto), "_all": F.col("_n0") + F.sum(F.col("pos") + F.col("neg")).over(upto)})
     return rows.groupBy(*keys).agg((F.sum(F.col("pos") * F.col("_tp") / F.nullif(F.col("_all"), F.lit(0.0))) / F.nullif(F.sum("pos"), F.lit(0.0))).alias("auprc"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,17 +28,23 @@ def k_shots(rows: DataFrame, ks: list[int], replicates: int = 5, keys: tuple[str
     draws = spark.createDataFrame([(r,) for r in range(replicates)], "replicate int")
     some = [k for k in ks if k != -1]
     ranking = rank if rank is not None else [F.xxhash64("replicate", *ident), *ident]
-    ranked = rows.crossJoin(F.broadcast(draws))
-    of_class = Window.partitionBy(*keys, "value", "replicate")
-    ranked = ranked.withColumns({"_rank": F.row_number().over(of_class.orderBy(*ranking)), "_size": F.count(F.lit(1)).over(of_class), "_all": F.count(F.lit(1)).over(Window.partitionBy(*keys, "replicate")), "_classes": F.size(F.collect_set("value").over(Window.partitionBy(*keys, "replicate")))})
+    of_class = Window.partitionBy(*keys, "value", "replicate").orderBy(*ranking)
+    ranked = rows.crossJoin(F.broadcast(draws)).withColumn("_rank", F.row_number().over(of_class))
+    if not keep_prevalence:
+        # A literal limit, so that tasks drop what no sample takes before rows are shuffled.
+        ranked = ranked.filter(F.col("_rank") <= max(some, default=0))
+    sizes = rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_size"))
+    of_keys = Window.partitionBy(*keys)
+    sizes = sizes.withColumns({"_all": F.sum("_size").over(of_keys), "_classes": F.count("value").over(of_keys)})
+    sizes = sizes.select(*(F.col(c).alias(f"_of_{c}") for c in (*keys, "value")), "_size", "_all", "_classes")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, "value")))
     want = F.greatest(F.lit(1), F.floor(F.col("_classes") * F.col("k") * F.col("_size") / F.col("_all"))) if keep_prevalence else F.col("k")
-    sizes = spark.createDataFrame([(k,) for k in some], "k int")
-    drawn = ranked.crossJoin(F.broadcast(sizes)).withColumn("_want", want.cast("long")).filter(F.col("_rank") <= F.col("_want"))
+    wanted = spark.createDataFrame([(k,) for k in some], "k int")
+    drawn = ranked.join(sizes, same).crossJoin(F.broadcast(wanted)).withColumn("_want", want.cast("long")).filter(F.col("_rank") <= F.col("_want"))
     again = F.sequence(F.lit(0), F.floor((F.col("_want") - F.col("_rank")) / F.col("_size")).cast("int"))
-    out = drawn.withColumn("copy", F.explode(again))
+    out = drawn.withColumn("copy", F.explode(again)).select(*keys, "k", "replicate", *ident, "value", "copy")
     if -1 in ks:
-        whole = ranked.filter("replicate = 0").withColumns({"k": F.lit(-1), "_want": F.lit(0).cast("long"), "copy": F.lit(0)})
-        out = out.unionByName(whole)
+        out = out.unionByName(rows.withColumns({"k": F.lit(-1), "replicate": F.lit(0), "copy": F.lit(0)}).select(out.columns))
     return out.select(*keys, "k", "replicate", *ident, "value", "copy")
 
 

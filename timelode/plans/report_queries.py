@@ -33,54 +33,31 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 # Features
 
 
+_ASKED = "q AS (SELECT DISTINCT patient_id, end_time AS t FROM ip)"
+_UP = "up AS (SELECT child AS code, child AS a FROM edge WHERE child LIKE 'P/%' UNION SELECT child, parent FROM edge WHERE child LIKE 'P/%' UNION SELECT x.child, y.parent FROM edge x JOIN edge y ON x.parent = y.child WHERE x.child LIKE 'P/%')"
+
+
 def _asked(spark, sf):
-    return timeline.admissions(fx.visits(spark, sf)).filter("visit_id % 4 = 0").select("patient_id", F.col("end_time").alias("prediction_time"))
+    return timeline.admissions(fx.visits(spark, sf)).select("patient_id", F.col("end_time").alias("prediction_time"))
 
 
-@query(f"{_W}, q AS (SELECT DISTINCT patient_id, end_time AS t FROM ip WHERE visit_id % 4 = 0) SELECT q.patient_id, q.t AS prediction_time, code, count(*) AS n FROM q JOIN ev ON ev.patient_id = q.patient_id AND ev.start_time <= q.t GROUP BY 1, 2, 3")
+@query(f"{_W}, {_ASKED} SELECT q.patient_id, q.t AS prediction_time, code, count(*) AS n FROM q JOIN ev ON ev.patient_id = q.patient_id AND ev.start_time <= q.t GROUP BY 1, 2, 3")
 def count_features(spark, sf):
     return features.count_features(_asked(spark, sf), fx.events(spark, sf))
 
 
-@query(f"{_W.replace('WITH', 'WITH ' + EDGES_SQL + ',', 1)}, q AS (SELECT DISTINCT patient_id, end_time AS t FROM ip WHERE visit_id % 4 = 0), up AS (SELECT child AS code, child AS a FROM edge WHERE child LIKE 'P/%' UNION SELECT child, parent FROM edge WHERE child LIKE 'P/%' UNION SELECT x.child, y.parent FROM edge x JOIN edge y ON x.parent = y.child WHERE x.child LIKE 'P/%') SELECT q.patient_id, q.t AS prediction_time, a AS code, count(*) AS n FROM q JOIN ev ON ev.patient_id = q.patient_id AND ev.start_time <= q.t JOIN up ON up.code = ev.code GROUP BY 1, 2, 3")
+@query(f"{_W.replace('WITH', 'WITH ' + EDGES_SQL + ',', 1)}, {_ASKED}, {_UP} SELECT q.patient_id, q.t AS prediction_time, a AS code, count(*) AS n FROM q JOIN ev ON ev.patient_id = q.patient_id AND ev.start_time <= q.t JOIN up ON up.code = ev.code GROUP BY 1, 2, 3")
 def count_features_with_ancestors(spark, sf):
     e = fx.edges(spark, sf)
     up = ontology.ancestors(e, e.filter("child LIKE 'P/%'").select(F.col("child").alias("code")))
     return features.count_features(_asked(spark, sf), fx.events(spark, sf), up)
 
 
-@query(f"{_W}, a AS (SELECT ip.patient_id, end_time AS prediction_time, date_diff('microsecond', first_time, end_time) / (86400e6 * 365.25) AS age FROM ip JOIN bnd USING (patient_id) WHERE visit_id % 4 = 0), m AS (SELECT avg(age) AS mu, stddev_samp(age) AS sd FROM a) SELECT patient_id, prediction_time, round(age, 6) AS age, round((age - mu) / sd, 6) AS age_z FROM a, m")
+@query(f"{_W}, a AS (SELECT ip.patient_id, end_time AS prediction_time, date_diff('microsecond', first_time, end_time) / (86400e6 * 365.25) AS age FROM ip JOIN bnd USING (patient_id)), m AS (SELECT avg(age) AS mu, stddev_samp(age) AS sd FROM a) SELECT patient_id, prediction_time, round(age, 6) AS age, round((age - mu) / sd, 6) AS age_z FROM a, m")
 def age_feature(spark, sf):
     return _rounded(features.age_feature(_asked(spark, sf), fx.births(spark, sf)), "age", "age_z")
 
 
-# The same asked at every admission's end.
-
-_ALL_ASKED = "q AS (SELECT DISTINCT patient_id, end_time AS t FROM ip)"
-_UP = "up AS (SELECT child AS code, child AS a FROM edge WHERE child LIKE 'P/%' UNION SELECT child, parent FROM edge WHERE child LIKE 'P/%' UNION SELECT x.child, y.parent FROM edge x JOIN edge y ON x.parent = y.child WHERE x.child LIKE 'P/%')"
-
-
-def _all_asked(spark, sf):
-    return timeline.admissions(fx.visits(spark, sf)).select("patient_id", F.col("end_time").alias("prediction_time"))
-
-
-@query(f"{_W}, {_ALL_ASKED} SELECT q.patient_id, q.t AS prediction_time, code, count(*) AS n FROM q JOIN ev ON ev.patient_id = q.patient_id AND ev.start_time <= q.t GROUP BY 1, 2, 3")
-def count_features_all_admissions(spark, sf):
-    return features.count_features(_all_asked(spark, sf), fx.events(spark, sf))
-
-
-@query(f"{_W.replace('WITH', 'WITH ' + EDGES_SQL + ',', 1)}, {_ALL_ASKED}, {_UP} SELECT q.patient_id, q.t AS prediction_time, a AS code, count(*) AS n FROM q JOIN ev ON ev.patient_id = q.patient_id AND ev.start_time <= q.t JOIN up ON up.code = ev.code GROUP BY 1, 2, 3")
-def count_features_with_ancestors_all_admissions(spark, sf):
-    e = fx.edges(spark, sf)
-    up = ontology.ancestors(e, e.filter("child LIKE 'P/%'").select(F.col("child").alias("code")))
-    return features.count_features(_all_asked(spark, sf), fx.events(spark, sf), up)
-
-
-@query(f"{_W}, a AS (SELECT ip.patient_id, end_time AS prediction_time, date_diff('microsecond', first_time, end_time) / (86400e6 * 365.25) AS age FROM ip JOIN bnd USING (patient_id)), m AS (SELECT avg(age) AS mu, stddev_samp(age) AS sd FROM a) SELECT patient_id, prediction_time, round(age, 6) AS age, round((age - mu) / sd, 6) AS age_z FROM a, m")
-def age_feature_all_admissions(spark, sf):
-    return _rounded(features.age_feature(_all_asked(spark, sf), fx.births(spark, sf)), "age", "age_z")
-
-
 # Samples
 
 
@@ -274,14 +251,8 @@ def results_unfinished(spark, sf):
     return sinks.unfinished(r, r.filter("row_idx % 5 = 0"), ["row_idx"]).select(r.columns)
 
 
-@query(f"WITH RECURSIVE e AS (SELECT user_id AS lr, event_id AS step, value AS loss, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE user_id < 20), f AS (SELECT lr, step, n, loss AS ema FROM e WHERE n = 1 UNION ALL SELECT e.lr, e.step, e.n, f.ema * 9 / 11 + e.loss * 2 / 11 FROM f JOIN e ON e.lr = f.lr AND e.n = f.n + 1) SELECT lr, step, round(ema, 6) AS ema FROM f")
-def ema_loss(spark, sf):
-    rows = fx.read(spark, sf, "events").filter("user_id < 20").selectExpr("user_id AS lr", "event_id AS step", "value AS loss")
-    return _rounded(reports.ema(rows, ["lr"], "step", "loss"), "ema")
-
-
 @query("WITH RECURSIVE e AS (SELECT user_id AS lr, event_id AS step, value AS loss, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), f AS (SELECT lr, step, n, loss AS ema FROM e WHERE n = 1 UNION ALL SELECT e.lr, e.step, e.n, f.ema * 9 / 11 + e.loss * 2 / 11 FROM f JOIN e ON e.lr = f.lr AND e.n = f.n + 1) SELECT lr, step, round(ema, 6) AS ema FROM f")
-def ema_loss_all_runs(spark, sf):
+def ema_loss(spark, sf):
     rows = fx.read(spark, sf, "events").selectExpr("user_id AS lr", "event_id AS step", "value AS loss")
     return _rounded(reports.ema(rows, ["lr"], "step", "loss"), "ema")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -65,10 +65,11 @@ def meds_labels(labels: DataFrame, value: Column | None = None) -> DataFrame:
 
 
 def write_meds(folder: str, data: DataFrame, codes: DataFrame, splits: DataFrame, labels: dict[str, DataFrame]) -> None:
-    """The whole layout under folder, with rows counted back after each write."""
+    """The whole layout under folder, with rows counted as they are written and once more on the way back."""
     parts = {"data": data, "metadata/codes": codes, "metadata/subject_splits": splits} | {f"labels/{k}": v for k, v in labels.items()}
     for name, df in parts.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder}/{name}")
         back = df.sparkSession.read.parquet(f"{folder}/{name}")
-        if [(f.name, f.dataType) for f in back.schema] != [(f.name, f.dataType) for f in df.schema] or back.count() != df.count():
+        if [(f.name, f.dataType) for f in back.schema] != [(f.name, f.dataType) for f in df.schema] or back.count() != seen.get.get("n", 0):
             raise ValueError(f"{name} did not survive its round trip")
