@@ -13,11 +13,13 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at a time, and bytes of an Arrow batch of texts in the jobs that operators run themselves.
 SLICE_BYTES, BATCH_BYTES = 1 << 20, 8 << 20
+#: Words of 64 bits in a filter of hashes: 4 MB as (word, bits) rows, however many hashes there are.
+FILTER_WORDS = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +86,25 @@ def bucket_of(column: str = "doc_id", n: int = 5):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def _bit(of: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(of, 58).cast("int"))
+
+
+def hash_filter(hashes: DataFrame, column: str) -> DataFrame:
+    """word and bits of a bit filter of the 64-bit hashes in a column: at most FILTER_WORDS rows.
+
+    Beyond some 10 million hashes most bits are set, and the filter lets most rows pass; it never loses one.
+    """
+    word = F.col(column).bitwiseAND(F.lit(FILTER_WORDS - 1))
+    return hashes.groupBy(word.alias("word")).agg(F.bit_or(_bit(F.col(column))).alias("bits"))
+
+
+def passing(df: DataFrame, of: Column, bits: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of df whose hash may be in the filter; with how="left_anti" those whose hash is surely not. Neither moves rows of df."""
+    word = of.bitwiseAND(F.lit(FILTER_WORDS - 1))
+    return df.join(F.broadcast(bits), (word == bits["word"]) & (bits["bits"].bitwiseAND(_bit(of)) != 0), how)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes, int64 offsets of the rows) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

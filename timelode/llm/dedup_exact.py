@@ -7,10 +7,13 @@ and on any machine, and combined by length-shifted sums. The fingerprint of a te
 and its length.
 
 Texts of equal fingerprint are then compared, chunk by chunk: the chunks of the texts in question stream
-through an aggregate of least and greatest chunk for each (fingerprint, chunk number), which pre-aggregates
-before the shuffle, so that a group of any size neither meets in one task nor is paired. Should the two
-differ anywhere, the fingerprint's group is split by the texts themselves. The texts in question are found
-again by a hash of the text, never by doc_id, so ids that repeat or are null change nothing.
+through an aggregate of least and greatest chunk, first for each (text key, chunk number), which pre-aggregates
+before the shuffle and collapses copies, then for each (fingerprint, chunk number). So a group of any size
+neither meets in one task nor is paired. Should the two differ anywhere, the fingerprint's group is split by
+the texts themselves. The text key is a hash of the text as it stands; rows are never found again by doc_id, so
+ids that repeat or are null change nothing. A filter of bounded size over the keys in question keeps other
+texts away from Python and from the shuffle; what passes it by chance goes in the join on keys. The filter
+fills up at some 10 million distinct texts with copies; from there on the comparison shuffles the corpus once.
 
 Chunks of a text of any length are hashed a block at a time.
 
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelode.llm._common import lean, small_batches, table, text_slices, written
+from timelode.llm._common import hash_filter, lean, passing, small_batches, table, text_slices, written
 from timelode.llm._words import BLOCK, LOWER
 
 CHUNK = 8192
@@ -125,30 +128,33 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _chunks(texts: DataFrame) -> DataFrame:
-    """The chunks of each text, numbered, with the text's fingerprint."""
+    """The chunks of each text, numbered, with the text's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             for i, j, data, offsets in text_slices(batch.column(0)):
                 data, at = LOWER[data], offsets.tolist()
-                marks = [batch.column(k).slice(i, j - i) for k in (1, 2, 3)]
+                key = batch.column(1).slice(i, j - i)
                 for r, (a, b) in enumerate(zip(at, at[1:], strict=False)):
                     starts = range(a, b, CHUNK)
                     for k in range(0, len(starts), CHUNKS_OUT):
                         cut = [data[x : min(b, x + CHUNK)].tobytes() for x in starts[k : k + CHUNKS_OUT]]
                         same = pa.array(np.full(len(cut), r))
-                        yield pa.RecordBatch.from_arrays([*(c.take(same) for c in marks), pa.array(np.arange(k, k + len(cut)), pa.int32()), pa.array(cut, pa.binary())], [*FINGERPRINT, "nth", "chunk"])
+                        yield pa.RecordBatch.from_arrays([key.take(same), pa.array(np.arange(k, k + len(cut)), pa.int32()), pa.array(cut, pa.binary())], ["text_key", "nth", "chunk"])
 
-    return texts.select("text", *FINGERPRINT).mapInArrow(lean(run), "f1 long, f2 long, n_bytes long, nth int, chunk binary")
+    return texts.select("text", "text_key").mapInArrow(lean(run), "text_key long, nth int, chunk binary")
 
 
 def unequal(docs: DataFrame, marks: DataFrame, groups: DataFrame) -> DataFrame:
     """The fingerprints that texts with different bytes share: chunkwise comparison of all rows whose fingerprint is not alone."""
     again = groups.filter((F.col("group_size") > 1) & (F.col("n_bytes") > 0)).select(*FINGERPRINT)
-    # A text that meets another's key by chance is compared under both fingerprints; its group is then split by the texts themselves.
+    # Texts that meet in a key by chance are compared under the fingerprints of both, whose groups are then split by the texts themselves.
     keys = written(marks.select("text_key", *FINGERPRINT).distinct().join(again, FINGERPRINT, "left_semi"), "texts-in-question")
-    texts = docs.select("text", _text_key().alias("text_key")).join(keys, "text_key")
-    seen = _chunks(texts).groupBy(*FINGERPRINT, "nth").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
+    bits = written(hash_filter(keys, "text_key"), "filter-of-texts")
+    texts = passing(docs.select("text", _text_key().alias("text_key")), F.col("text_key"), bits)
+    least = lambda low, high: (F.min(low).alias("low"), F.max(high).alias("high"))
+    of_text = _chunks(texts).groupBy("text_key", "nth").agg(*least("chunk", "chunk"))
+    seen = of_text.join(keys, "text_key").groupBy(*FINGERPRINT, "nth").agg(*least("low", "high"))
     return seen.filter("low <> high").select(*FINGERPRINT).distinct()
 
 
@@ -169,10 +175,14 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_groups keeps."""
+    """The rows of docs that exact_groups keeps. Only rows whose id may be that of a dropped copy are joined; the others stay where they are."""
     sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), UPPER, LETTERS).cast("binary"), 256)
     dropped = written(exact_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "dropped-copies")
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_anti")
+    ids = written(hash_filter(dropped.select(F.xxhash64("_id").alias("hash")), "hash"), "dropped-ids")
+    of = F.xxhash64(docs["doc_id"].cast("long"))
+    asked = passing(docs, of, ids)
+    asked = asked.join(dropped, docs["doc_id"].eqNullSafe(dropped["_id"]) & (sha == dropped["_sha"]), "left_anti")
+    return passing(docs, of, ids, "left_anti").unionByName(asked)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
