@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from timelode.llm import _words, bpe, dedup_exact, packing
+from timelode.llm import _common, _words, bpe, dedup_exact, packing
 from timelode.llm._common import SLICE_BYTES, text_slices
 
 ODD = ["", None, " ", "\n\t ", "a", "A b", "é È", "x" * 5000, "One two three four five six", "one TWO three four five six", "a\x0bb\x0cc\rd", " nb sp", "漢字 かな", "🙂🙂", "<|endoftext|>", "a <|endoftext|>b", "!!!", "it's we'll", "  two  spaces ", "1234 56", "aaaa" * 300]
@@ -214,6 +214,17 @@ def test_a_repeated_id_costs_its_rows_only(spark):
     assert len(got) == len(texts) and {r.group_size for r in got if r.doc_id == 7} == {2} and sorted(r.group_size for r in got if r.doc_id is None) == [1, 2, 2]
 
 
+def test_the_filter_loses_no_hash(spark, monkeypatch):
+    rows = spark.range(400).select(F.xxhash64("id").alias("h"), "id").withColumns({"word": F.lit(1), "bits": F.lit("x")})
+    for words_ in (_common.FILTER_WORDS, 2):  # roomy, and nearly full
+        monkeypatch.setattr(_common, "FILTER_WORDS", words_)
+        bits = _common.hash_filter(rows.filter("id % 4 = 0"), "h")
+        assert bits.count() <= words_
+        some = {r.id for r in _common.passing(rows, F.col("h"), bits).collect()}
+        rest = {r.id for r in _common.passing(rows, F.col("h"), bits, "left_anti").collect()}
+        assert set(range(0, 400, 4)) <= some and not some & rest and some | rest == set(range(400))
+
+
 def test_long_texts_in_blocks(monkeypatch):
     rng = np.random.default_rng(4)
     texts = [" ".join(f"w{k}" for k in rng.integers(0, 50, n)) for n in (3, 4000, 1, 0, 900)] + ["x" * 3000 + " y"]
