@@ -49,8 +49,8 @@ def _remove(spark: SparkSession, path: str) -> None:
 _registered: set[str] = set()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage, survives lost executors, and its size is known to the planner."""
+def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df as a Parquet table in the shared folder: it cuts the lineage, survives lost executors, and its size is known to the planner. Columns in by become folders and come last."""
     spark = df.sparkSession
     root = shared_root(spark)
     if root not in _registered:
@@ -58,7 +58,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_remove, spark, root)
     path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
     with small_arrow(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ngram_join", "dedup_exact", "bpe", "packing", "toxicity", "quality", "langid", "ann", "preferences", "url_rules")
+MODULES = ("ngram_join", "dedup_exact", "bpe", "packing", "toxicity", "quality", "langid", "ann", "preferences", "url_rules", "whitening", "packing_nnls", "centroids")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
