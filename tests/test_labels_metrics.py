@@ -107,11 +107,6 @@ def test_files_round_trip(spark, tmp_path):
         sinks.labels_csv(rows, str(tmp_path / "l"))
     back = {(r.patient_id, r.prediction_time, r.bool_value) for r in readers.labels_csv(spark, str(tmp_path / "l")).collect()}
     assert back == {(2, datetime(2024, 1, 1, 5, 6), True), (1, datetime(2024, 1, 2), False)}
-    (tmp_path / "e").mkdir()
-    (tmp_path / "e/a.csv").write_text("patient_id,start_time,end_time,code,value,unit,visit_id,omop_table\n1,2024-01-02T00:00:00,,b,,,,\n1,2024-01-01T00:00:00,,a,1,,5,x\n")
-    (tmp_path / "e/a.txt").write_text("not events")
-    got = readers.ingest(spark, str(tmp_path / "e"), str(tmp_path / "p"))
-    assert [(r.code, r.event_idx) for r in got.orderBy("event_idx").collect()] == [("a", 0), ("b", 1)]
     (tmp_path / "v.json").write_text('{"regular": [{"type": "code", "code_string": "SNOMED/1"}, {"type": "unused", "code_string": null}]}')
     assert [(r.token, r.type) for r in readers.vocabulary_json(spark, str(tmp_path / "v.json")).collect()] == [(0, "code"), (1, "unused")]
     (tmp_path / "log").mkdir()

@@ -1,7 +1,8 @@
 """Order kernels: the next event at or after a time, and the last one at or before it.
 
 Both sort the union of the two sides once per key and carry the latest value along, so they cost n log n
-whatever the horizon, need one shuffle on the key, and pair nothing.
+whatever the horizon and pair nothing. They need one shuffle on the key, and none where both sides come from
+a store bucketed by it.
 """
 
 from __future__ import annotations
@@ -10,14 +11,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def united(keys: list[str], *parts: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(the parts one below the other, the keys' names there).
+
+    A union tells the planner how it is partitioned only if its parts name their keys alike by themselves; a
+    key that is read under a new name does, and so parts of one bucketed table stay where they are.
+    """
+    names = [f"_key{i}" for i in range(len(keys))]
+    renamed = [p.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), *(c for c in p.columns if c not in keys)) for p in parts]
+    out = renamed[0]
+    for r in renamed[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out, names
+
+
 def _merged(rows: DataFrame, at: Column, others: DataFrame, time: str, keys: list[str], ahead: bool, carry: Column, out: str) -> DataFrame:
-    packed = rows.select(*keys, at.alias("_at"), F.lit(0).alias("_kind"), F.struct(*rows.columns).alias("_row"))
+    rest = [c for c in rows.columns if c not in keys]
+    # A struct without fields can't be written, so the time stands for it.
+    packed = rows.select(*keys, at.alias("_at"), F.lit(0).alias("_kind"), F.struct(*rest, at.alias("_own")).alias("_row"))
     side = others.select(*keys, F.col(time).alias("_at"), F.lit(1).alias("_kind"), carry.alias("_carry"))
-    both = packed.unionByName(side, allowMissingColumns=True)
+    both, names = united(keys, packed, side)
     # At equal times the other side comes first, and so counts.
     order = [F.desc("_at") if ahead else F.asc("_at"), F.desc("_kind")]
-    seen = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn(out, F.last("_carry", ignorenulls=True).over(seen)).filter("_kind = 0").select("_row.*", out)
+    seen = Window.partitionBy(*names).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn(out, F.last("_carry", ignorenulls=True).over(seen)).filter("_kind = 0")
+    own = {k: F.col(n).alias(k) for k, n in zip(keys, names, strict=True)} | {c: F.col("_row")[c].alias(c) for c in rest}
+    return found.select(*(own[c] for c in rows.columns), out)
 
 
 def next_at_or_after(rows: DataFrame, at: Column, events: DataFrame, time: str = "time", keys: tuple[str, ...] = ("patient_id",), out: str = "next_time") -> DataFrame:

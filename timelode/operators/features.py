@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from timelode.operators.asof import united
+
 
 def count_features(asked: DataFrame, events: DataFrame, ancestors: DataFrame | None = None) -> DataFrame:
     """(patient_id, prediction_time, code, n): events of each code up to each asked time.
@@ -15,15 +17,17 @@ def count_features(asked: DataFrame, events: DataFrame, ancestors: DataFrame | N
     """
     daily = events.groupBy("patient_id", "code", "start_time").agg(F.count(F.lit(1)).alias("n"))
     if ancestors is not None:
-        daily = daily.join(ancestors, "code").groupBy("patient_id", F.col("ancestor").alias("code"), "start_time").agg(F.sum("n").alias("n"))
+        # A code that the hierarchy doesn't know stands for itself.
+        above = F.coalesce(F.col("ancestor"), F.col("code"))
+        daily = daily.join(ancestors, "code", "left").groupBy("patient_id", above.alias("code"), "start_time").agg(F.sum("n").alias("n"))
     times = asked.select("patient_id", "prediction_time").distinct()
     codes = daily.select("patient_id", "code").distinct()
     grid = times.join(codes, "patient_id").select("patient_id", "code", F.col("prediction_time").alias("at"), F.lit(None).cast("long").alias("n"))
-    both = daily.select("patient_id", "code", F.col("start_time").alias("at"), "n").unionByName(grid)
+    both, keys = united(["patient_id", "code"], daily.select("patient_id", "code", F.col("start_time").alias("at"), "n"), grid)
     # At equal times the event counts.
-    upto = Window.partitionBy("patient_id", "code").orderBy("at", F.desc_nulls_last("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy(*keys).orderBy("at", F.desc_nulls_last("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = both.withColumn("total", F.sum("n").over(upto)).filter("n IS NULL AND total > 0")
-    return out.select("patient_id", F.col("at").alias("prediction_time"), "code", F.col("total").cast("long").alias("n"))
+    return out.select(F.col(keys[0]).alias("patient_id"), F.col("at").alias("prediction_time"), F.col(keys[1]).alias("code"), F.col("total").cast("long").alias("n"))
 
 
 def age_feature(asked: DataFrame, births: DataFrame, train: DataFrame | None = None) -> DataFrame:

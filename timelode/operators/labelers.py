@@ -195,11 +195,11 @@ def icu_transfer(events: DataFrame) -> DataFrame:
     Same-day stays, and admissions on a day with a transfer, have no label.
     """
     moves = timeline.icu_stays(events).select("patient_id", F.col("start_time").alias("time"))
-    days = moves.select("patient_id", F.col("time").cast("date").alias("_day")).distinct()
 
     def visits(e: DataFrame) -> DataFrame:
         longer = timeline.admissions(e).filter(F.col("start_time").cast("date") != F.col("end_time").cast("date"))
-        return longer.withColumn("_day", F.col("start_time").cast("date")).join(days, ["patient_id", "_day"], "left_anti")
+        first = next_at_or_after(longer, F.date_trunc("day", "start_time").cast("timestamp_ntz"), moves, out="_move")
+        return first.filter(~F.coalesce(F.col("_move").cast("date") == F.col("start_time").cast("date"), F.lit(False)))
 
     return WithinVisitLabeler(visits, lambda _: moves, end_of_day).label(events)
 
@@ -247,8 +247,7 @@ def _with_care(events: DataFrame, hours: int, within: int | None) -> DataFrame:
     found = timeline.icu_stays(events)
     found = found.filter(F.col("end_time") - F.col("start_time") >= F.lit(timedelta(hours=hours)))
     last = F.col("end_time") if within is None else F.col("start_time") + F.lit(timedelta(hours=within))
-    own = timeline.icu_stays(events).select("patient_id", "event_idx")
-    return timeline.exists_between(found.withColumn("_last", last), events, "start_time", "_last", own)
+    return timeline.exists_between(found.withColumn("_last", last), events, "start_time", "_last", timeline.is_stay(timeline.ICU_SITES, "visit_detail"))
 
 
 def hourly_grid(events: DataFrame, first: int = 4) -> DataFrame:

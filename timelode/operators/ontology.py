@@ -5,26 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timelode.sources.shared import discard, written
 
-def closure(edges: DataFrame, roots: DataFrame | list[str], most_levels: int = 64) -> DataFrame:
+
+def closure(edges: DataFrame, roots: DataFrame | list[str]) -> DataFrame:
     """(root, code): each root with itself and all its descendants.
 
-    One join for each level of the hierarchy, with what is already known left out, so that cycles end and
-    diamonds are walked once. An unknown root is its own only descendant.
+    Paths double: with all pairs fewer than 2^k steps apart and the links of exactly 2^k steps, one join gives
+    the pairs fewer than 2^(k+1) steps apart and another the longer links, so a hierarchy of n levels takes
+    log n rounds. A round's pairs and links are written; nothing stays cached. It ends when no longer links
+    are left or, as cycles always have some, when a round adds no pair. An unknown root is its own only
+    descendant.
     """
     spark = edges.sparkSession
     if isinstance(roots, list):
         roots = spark.createDataFrame([(r,) for r in roots], "root string")
-    links = edges.select("parent", "child")
-    found = roots.select("root", F.col("root").alias("code")).distinct()
-    level = found
-    for _ in range(most_levels):
-        step = level.join(links, level.code == links.parent).select("root", F.col("child").alias("code")).distinct()
-        level = step.join(found, ["root", "code"], "left_anti").persist()
-        if level.isEmpty():
-            return found
-        found = found.unionByName(level)
-    raise ValueError(f"the hierarchy has more than {most_levels} levels")
+    pairs = roots.select("root", F.col("root").alias("code")).distinct()
+    links = edges.select("parent", "child").filter("parent IS NOT NULL AND child IS NOT NULL AND parent <> child").distinct()
+    known, stored = None, False
+    while True:
+        further = pairs.join(links, pairs.code == links.parent).select("root", F.col("child").alias("code"))
+        longer = written(pairs.unionByName(further).distinct(), "closure")
+        n = longer.count()
+        if n == known:
+            discard(longer)
+            return pairs
+        if known is not None:
+            discard(pairs)
+        pairs, known, before = longer, n, links
+        first, second = before.alias("x"), before.alias("y")
+        links = written(first.join(second, F.col("x.child") == F.col("y.parent")).select("x.parent", "y.child").distinct(), "links")
+        if stored:
+            discard(before)
+        stored = True
+        if links.isEmpty():
+            return pairs
 
 
 def ancestors(edges: DataFrame, codes: DataFrame) -> DataFrame:

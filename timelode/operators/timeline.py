@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Codes of visits, deaths and intensive-care sites.
@@ -84,11 +84,18 @@ def first_death(events: DataFrame, codes: DataFrame | list[str] | None = None) -
     return deaths(events, codes).groupBy("patient_id").agg(F.min("start_time").alias("death_time"))
 
 
-def exists_between(rows: DataFrame, events: DataFrame, start: str, end: str, excluded: DataFrame | None = None) -> DataFrame:
-    """rows during which, bounds included, the patient has an event whose event_idx is not excluded."""
+def is_stay(codes: list[str], omop_table: str) -> Column:
+    """Whether an event is one that stays() returns for listed codes; never null."""
+    return F.coalesce((F.col("omop_table") == omop_table) & F.col("code").isin(codes) & (F.col("start_time") != F.col("end_time")), F.lit(False))
+
+
+def exists_between(rows: DataFrame, events: DataFrame, start: str, end: str, excluded: DataFrame | Column | None = None) -> DataFrame:
+    """rows during which, bounds included, the patient has an event that is not excluded, by a condition (which moves no rows) or by event_idx."""
     from timelode.operators.asof import next_at_or_after
 
-    if excluded is not None:
+    if isinstance(excluded, Column):
+        events = events.filter(~excluded)
+    elif excluded is not None:
         events = events.join(excluded.select("patient_id", "event_idx"), ["patient_id", "event_idx"], "left_anti")
     found = next_at_or_after(rows, F.col(start), events.select("patient_id", F.col("start_time").alias("time")), out="_next")
     return found.filter(F.col("_next") <= F.col(end)).drop("_next")

@@ -10,6 +10,7 @@ from timelode.functions.times import end_of_day
 from timelode.operators import asof, labelers, labels, ontology, timeline
 from timelode.schema import CHEST_FINDINGS
 from timelode.sources import fixtures as fx
+from timelode.sources import store
 from timelode.sources.fixtures import EDGES_SQL, EVENTS_SQL, SPLITS_SQL
 
 QUERIES, ORACLES = {}, {}
@@ -235,6 +236,17 @@ def chexpert_unpack(spark, sf):
 # Timeline predicates
 
 
+@query(f"{_W} SELECT patient_id, event_idx, start_time, code, omop_table, visit_id FROM ev")
+def patient_store(spark, sf):
+    return fx.timeline(spark, sf).select("patient_id", "event_idx", "start_time", "code", "omop_table", "visit_id")
+
+
+@query(f"{_W} SELECT patient_id, event_idx, code FROM ev WHERE patient_id IN (SELECT patient_id FROM dth)")
+def patients_of_store(spark, sf):
+    rows = fx.timeline(spark, sf)
+    return store.of_patients(rows, timeline.deaths(rows)).select("patient_id", "event_idx", "code")
+
+
 @query(f"{_W} SELECT * FROM bnd")
 def patient_bounds(spark, sf):
     return timeline.bounds(fx.timeline(spark, sf))

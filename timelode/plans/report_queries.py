@@ -34,7 +34,7 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 _ASKED = "q AS (SELECT DISTINCT patient_id, end_time AS t FROM ip)"
-_UP = "up AS (SELECT child AS code, child AS a FROM edge WHERE child LIKE 'P/%' UNION SELECT child, parent FROM edge WHERE child LIKE 'P/%' UNION SELECT x.child, y.parent FROM edge x JOIN edge y ON x.parent = y.child WHERE x.child LIKE 'P/%')"
+_UP = "own AS (SELECT DISTINCT code FROM ev), up AS (SELECT code, code AS a FROM own UNION SELECT child, parent FROM edge UNION SELECT x.child, y.parent FROM edge x JOIN edge y ON x.parent = y.child)"
 
 
 def _asked(spark, sf):
@@ -43,14 +43,14 @@ def _asked(spark, sf):
 
 @query(f"{_W}, {_ASKED} SELECT q.patient_id, q.t AS prediction_time, code, count(*) AS n FROM q JOIN ev ON ev.patient_id = q.patient_id AND ev.start_time <= q.t GROUP BY 1, 2, 3")
 def count_features(spark, sf):
-    return features.count_features(_asked(spark, sf), fx.events(spark, sf))
+    return features.count_features(_asked(spark, sf), fx.timeline(spark, sf))
 
 
 @query(f"{_W.replace('WITH', 'WITH ' + EDGES_SQL + ',', 1)}, {_ASKED}, {_UP} SELECT q.patient_id, q.t AS prediction_time, a AS code, count(*) AS n FROM q JOIN ev ON ev.patient_id = q.patient_id AND ev.start_time <= q.t JOIN up ON up.code = ev.code GROUP BY 1, 2, 3")
 def count_features_with_ancestors(spark, sf):
-    e = fx.edges(spark, sf)
-    up = ontology.ancestors(e, e.filter("child LIKE 'P/%'").select(F.col("child").alias("code")))
-    return features.count_features(_asked(spark, sf), fx.events(spark, sf), up)
+    events = fx.timeline(spark, sf)
+    up = ontology.ancestors(fx.edges(spark, sf), events.select("code").distinct())
+    return features.count_features(_asked(spark, sf), events, up)
 
 
 @query(f"{_W}, a AS (SELECT ip.patient_id, end_time AS prediction_time, date_diff('microsecond', first_time, end_time) / (86400e6 * 365.25) AS age FROM ip JOIN bnd USING (patient_id)), m AS (SELECT avg(age) AS mu, stddev_samp(age) AS sd FROM a) SELECT patient_id, prediction_time, round(age, 6) AS age, round((age - mu) / sd, 6) AS age_z FROM a, m")

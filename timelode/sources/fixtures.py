@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelode.operators.timeline import indexed
+from timelode.sources import store
 
 LAB_CODES = ["LOINC/777-3", "LOINC/2823-3", "LOINC/14749-6", "LOINC/2951-2", "LOINC/718-7"]
 
@@ -81,7 +81,7 @@ def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All parts of the timelines; event_idx is added by timeline()."""
+    """All parts of the timelines, as a source would give them; timeline() puts them in order."""
     parts = [f(spark, sf_dir).select(*_ROW) for f in (_visits, _labs, _diagnoses, _deaths, _people)]
     out = parts[0]
     for p in parts[1:]:
@@ -90,12 +90,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indexed(events(spark, sf_dir), "seq", "code")
+    """All timelines, from a patient store that is written once in a session."""
+    return store.kept(spark, [f"{sf_dir}/{t}.parquet" for t in ("orders", "lineitem", "customer")], lambda: events(spark, sf_dir), "seq", "code")
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visits alone, with their place among themselves."""
-    return indexed(_visits(spark, sf_dir), "seq")
+    """The timelines' visits alone."""
+    return timeline(spark, sf_dir).filter("omop_table IN ('visit_occurrence', 'visit_detail')")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

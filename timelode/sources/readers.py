@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from timelode import schema
 from timelode.operators.labels import typed
+from timelode.sources import store
 
 RAW_EVENTS = "patient_id long, start_time timestamp_ntz, end_time timestamp_ntz, code string, value string, unit string, visit_id long, omop_table string"
 
@@ -17,17 +18,14 @@ def event_csvs(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(RAW_EVENTS).option("header", True).option("pathGlobFilter", "*.csv").csv(folder)
 
 
-def ingest(spark: SparkSession, folder: str, target: str) -> DataFrame:
-    """Events of a CSV folder as Parquet, clustered by patient and ordered in time."""
-    from timelode.operators.timeline import indexed
+def ingest(spark: SparkSession, folder: str, name: str, buckets: int | None = None) -> DataFrame:
+    """Events of a CSV folder as a patient store of that name: bucketed by patient, in the order of each timeline."""
+    return store.create(event_csvs(spark, folder), name, "code", "value", buckets=buckets)
 
-    rows = indexed(event_csvs(spark, folder), "code", "value")
-    rows.repartition("patient_id").sortWithinPartitions("patient_id", "event_idx").write.mode("overwrite").parquet(target)
-    return events(spark, target)
 
-
-def events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def events(spark: SparkSession, name: str) -> DataFrame:
+    """The timelines of a patient store."""
+    return store.opened(spark, name)
 
 
 def labels_csv(spark: SparkSession, path: str, survival: bool = False) -> DataFrame:
