@@ -275,6 +275,11 @@ def test_repeated_ids_of_models(spark):
     assert a.index.tolist() == b.index.tolist() and np.allclose(a.weight, b.weight)
     few = toxicity.fit(rows, labels, most=100)
     assert len(few.index) < len(a.index)
+    # A huge text is passed over; the labelled rows behind it still count.
+    huge = rows.unionByName(docs(spark, [" ".join(f"u{k}" for k in range(3000))] * 9, first=900))
+    more = labels.union(spark.createDataFrame([(i, 1, 1) for i in range(900, 909)], "doc_id long, quality int, toxic int"))
+    c = toxicity.fit(huge, more, most=8000)
+    assert len(c.index) > len(few.index)
     x = np.random.default_rng(0).random((5, len(quality.NAMES)))
     assert np.array_equal(quality.fit(rows, labels).score(x), quality.fit(again, labels.union(labels)).score(x))
     names = [list(LANGS)[i % 3] for i in range(90)]

@@ -127,13 +127,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Column
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), lists], ["place", "y", "f"])
 
     made = written(labelled_sample(docs, labels, label, train, rows).mapInArrow(lean(run), "place long, y int, f array<int>"), "toxic-features")
-    # One row for each of at most so many rows; the sample ends where its features would be too many.
+    # One row for each of at most so many rows. A text whose features would be too many is passed over, those behind it are not.
     sizes = made.select("place", F.size("f").alias("n")).toArrow().sort_by("place")
-    place, n = np.asarray(sizes["place"]), np.asarray(sizes["n"])
-    fits = int((np.cumsum(n) <= most).sum())
-    if not fits:
+    kept, taken = [], 0
+    for place, n in zip(sizes["place"].to_pylist(), sizes["n"].to_pylist(), strict=True):
+        if taken + n <= most:
+            kept.append((place,))
+            taken += n
+    if not taken:
         return Sparse(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0)
-    got = made.filter(F.col("place") <= int(place[fits - 1])).toArrow()
+    some = made if len(kept) == sizes.num_rows else made.join(F.broadcast(made.sparkSession.createDataFrame(kept, "place long")), "place").select(*made.columns)
+    got = some.toArrow()
     discard(made)
     y = got["y"].to_numpy()
     lists = got["f"].combine_chunks()
