@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -16,6 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timelode.sources import shared
+from timelode.sources.shared import discard  # noqa: F401
+
 #: Bytes of text that are worked on at a time, and bytes of an Arrow batch of texts in the jobs that operators run themselves.
 SLICE_BYTES, BATCH_BYTES = 1 << 20, 8 << 20
 #: Words of 64 bits in a filter of hashes: 4 MB as (word, bits) rows, however many hashes there are.
@@ -26,47 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only for a local session that names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='timelode-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/timelode-{spark.sparkContext.applicationId}"
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session is gone, and the folder's owner clears it
-        pass
-
-
-_registered: set[str] = set()
-
-
 def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage, survives lost executors, and its size is known to the planner. Columns in by become folders and come last."""
-    spark = df.sparkSession
-    root = shared_root(spark)
-    if root not in _registered:
-        _registered.add(root)
-        atexit.register(_remove, spark, root)
-    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
-    with small_arrow(spark):
-        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table from written() once nothing lazy reads it any more."""
-    files = df.inputFiles()
-    if files:
-        _remove(df.sparkSession, files[0].rsplit("/", 1)[0])
+    """shared.written() with small Arrow batches."""
+    with small_arrow(df.sparkSession):
+        return shared.written(df, name, by)
 
 
 @contextmanager

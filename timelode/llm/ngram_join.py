@@ -317,7 +317,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_set = equal.withColumn("label", F.col("node")) if labels is None else equal.join(labels, "node", "left")
     of_set = of_set.select(*IDENTITY, F.coalesce("label", "node").alias("component"))
     of_doc = own.join(of_set, IDENTITY).select("doc_id", "component")
-    return out.join(of_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.join(of_doc, "doc_id", "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def _nearest_centres(lists: DataFrame, nodes: DataFrame) -> DataFrame:
