@@ -236,9 +236,9 @@ def chexpert_unpack(spark, sf):
 # Timeline predicates
 
 
-@query(f"{_W} SELECT patient_id, event_idx, start_time, code, omop_table, visit_id FROM ev")
+@query(f"{_W} SELECT patient_id, event_idx, start_time, code, omop_table, coalesce(visit_id, -1) AS visit_id FROM ev")
 def patient_store(spark, sf):
-    return fx.timeline(spark, sf).select("patient_id", "event_idx", "start_time", "code", "omop_table", "visit_id")
+    return fx.timeline(spark, sf).select("patient_id", "event_idx", "start_time", "code", "omop_table", F.coalesce("visit_id", F.lit(-1).cast("long")).alias("visit_id"))
 
 
 @query(f"{_W} SELECT patient_id, event_idx, code FROM ev WHERE patient_id IN (SELECT patient_id FROM dth)")
