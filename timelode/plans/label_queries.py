@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from timelode.functions.times import end_of_day
 from timelode.operators import asof, labelers, labels, ontology, timeline
+from timelode.operators.table_functions import Readmissions, WalkLabeler
 from timelode.schema import CHEST_FINDINGS
 from timelode.sources import fixtures as fx
 from timelode.sources import store
@@ -61,6 +62,11 @@ def label_readmission_30d(spark, sf):
     return labelers.ReadmissionLabeler().label(fx.timeline(spark, sf))
 
 
+@query(_horizon(_READMIT_SQL, IP_OUT, "1 MINUTE", "30 DAY", True))
+def label_readmission_as_function(spark, sf):
+    return WalkLabeler(Readmissions).label(fx.timeline(spark, sf))
+
+
 @query(_horizon(_READMIT_SQL.replace(EOD.format("end_time"), "end_time"), IP_OUT, "1 MINUTE", "90 DAY", True))
 def label_readmission_parametrised(spark, sf):
     return labelers.ReadmissionLabeler(timedelta(days=90), lambda t: t).label(fx.timeline(spark, sf))
