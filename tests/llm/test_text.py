@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -251,3 +252,21 @@ def test_a_text_beyond_a_slice():
     (_, _, data, offsets), = text_slices(pa.array([text]))
     h, _ = _words.shingles(_words.scan(data, offsets))
     assert len(set(h.tolist())) == len(shingle_set(text))
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "abcdefgh", "the", "é", "\u4e00\u4e8c\u4e09\u56db\u4e94"])
+def test_long_words_in_segments(reference, letters):
+    rng = np.random.default_rng(len(letters))
+    own = bpe.codec(bpe.TOKENIZER)
+    for n in (191, 193, 500, 3001):
+        for text in ("".join(rng.choice(list(letters), n)), (letters * n)[:n]):
+            data = np.frombuffer(text.encode(), np.uint8)
+            assert own._encode_run(data).tolist() == own._merge_long(text.encode()) == reference.encode(text, add_special_tokens=False).ids
+
+
+def test_a_long_run_of_letters_takes_seconds():
+    rng = np.random.default_rng(0)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 340_000)))
+    began = time.time()
+    (_, _, ids, _), = bpe.encoded_slices(pa.array([text]))
+    assert time.time() - began < 60 and bpe.codec(bpe.TOKENIZER).decode(ids, np.array([0, len(ids)])) == [text]

@@ -11,7 +11,7 @@ distinct pieces of a slice of texts are encoded once, and kept, within a bound,
 whole texts are gathered from that store.
 
 Cases: null and empty texts give no ids; the special token's string gives its id, as in the tokenizers
-library; texts of any length are encoded whole; ids that spell no valid UTF-8 decode with U+FFFD.
+library; texts of any length are encoded whole, and words of any length in segments that are verified and joined; ids that spell no valid UTF-8 decode with U+FFFD.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,9 +35,11 @@ from timelode.llm._common import lean, row_slices, small_batches, table, text_bu
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Distinct pieces kept by a worker; beyond that it starts anew. Bounds memory, not results.
-PIECES_KEPT = 120_000
+PIECES_KEPT = 60_000
 #: Texts are encoded in slices, and long texts in parts, of about so many bytes.
-ENCODE_BYTES = 1 << 20
+ENCODE_BYTES = 4 << 20
+#: Longer words, in bytes, are encoded in segments of so many bytes.
+LONG_WORD, SEGMENT = 192, 48
 #: Code points below this are classed alike by every Unicode version in use; pieces with others are split by the library itself.
 SETTLED = "԰"
 
@@ -253,23 +256,24 @@ class Codec:
 
     def _merge_long(self, word: bytes) -> list[int]:
         """The exact encoding of one word, in n log n: lowest rank first, of equal ranks the leftmost."""
-        part, size, merge = [self.byte_id[b] for b in word], self.size, self.merge
-        n = len(part)
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(m[0], i, part[i], part[i + 1], m[1]) for i in range(n - 1) if (m := merge.get(part[i] * size + part[i + 1]))]
+        size, merge, n = self.size, self.merge, len(word)
+        part, after, before = array("i", [self.byte_id[b] for b in word]), array("i", [*range(1, n), -1]), array("i", [-1, *range(n - 1)])
+        # Rank and place as one number; an entry holds if its place still has a pair of that rank.
+        heap = [m[0] << 32 | i for i in range(n - 1) if (m := merge.get(part[i] * size + part[i + 1]))]
         heapq.heapify(heap)
         while heap:
-            _, i, x, y, made = heapq.heappop(heap)
+            top = heapq.heappop(heap)
+            i = top & 0xFFFFFFFF
             j = after[i]
-            if part[i] != x or j < 0 or part[j] != y:
+            if part[i] < 0 or j < 0 or not (m := merge.get(part[i] * size + part[j])) or m[0] != top >> 32:
                 continue
-            part[i], part[j] = made, -1
+            part[i], part[j] = m[1], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for p, q in ((before[i], i), (i, after[i])):
                 if p >= 0 and q >= 0 and (m := merge.get(part[p] * size + part[q])):
-                    heapq.heappush(heap, (m[0], p, part[p], part[q], m[1]))
+                    heapq.heappush(heap, m[0] << 32 | p)
         return [t for t in part if t >= 0]
 
     def _merge_short(self, data: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -312,13 +316,51 @@ class Codec:
         order = np.argsort(row, kind="stable")
         return np.concatenate(done)[order], row[order]
 
+    def _exact(self, data: np.ndarray, at: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        """The exact encoding of each of the parts data[at:end]."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(at)
+        n = end - at
+        for k in range(0, len(some := np.flatnonzero(n <= 2 * SEGMENT)), 4096):
+            own = some[k : k + 4096]
+            tokens, owner = self._merge_short(data, at[own], end[own])
+            for w, t in zip(own.tolist(), np.split(tokens, np.searchsorted(owner, np.arange(1, len(own)))), strict=True):
+                out[w] = t
+        for w in np.flatnonzero(n > 2 * SEGMENT).tolist():
+            out[w] = np.array(self._merge_long(data[at[w] : end[w]].tobytes()), np.int64)
+        return out
+
+    def _encode_run(self, data: np.ndarray) -> np.ndarray:
+        """The tokens of one long word: its segments are encoded by themselves, and the pairs at their seams verified; where a pair is incompatible the two segments are encoded as one."""
+        at = np.arange(0, len(data), SEGMENT)
+        parts = self._exact(data, at, np.append(at[1:], len(data)))
+        while len(parts) > 1:
+            size = np.diff(np.append(at, len(data)))
+            ok = self._compatible(np.array([p[-1] for p in parts[:-1]]), np.array([p[0] for p in parts[1:]]))
+            if ok.all():
+                break
+            # A group of segments that grew before grows by as many again, so that rounds are few.
+            for k in np.flatnonzero(~ok).tolist():
+                reach = 2 * int(size[k] + size[k + 1]) // SEGMENT if max(size[k], size[k + 1]) > SEGMENT else 0
+                ok[k : k + reach] = False
+            first = np.flatnonzero(np.append(True, ok))
+            begin = at[first]
+            again = np.flatnonzero(np.diff(np.append(first, len(parts))) > 1)
+            made = self._exact(data, begin[again], np.append(begin[1:], len(data))[again])
+            parts = [parts[k] for k in first.tolist()]
+            for k, p in zip(again.tolist(), made, strict=True):
+                parts[k] = p
+            at = begin
+        return np.concatenate(parts)
+
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids in a row, number of each word's ids) of distinct words."""
         raw = [w.encode() for w in words]
         n = np.fromiter(map(len, raw), np.int64, len(raw))
         data, end = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(n)
         at = end - n
-        flat, word = self._greedy(data, at, end)
+        usual = np.flatnonzero(n <= LONG_WORD)
+        flat, word = self._greedy(data, at[usual], end[usual]) if len(usual) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        word = usual[word]
         same = np.flatnonzero(word[:-1] == word[1:])
         pair, which = np.unique(flat[same] * self.size + flat[same + 1], return_inverse=True)
         ok = self._compatible(pair // self.size, pair % self.size)[which]
@@ -336,6 +378,9 @@ class Codec:
         for w in np.flatnonzero(wrong & (n > 48)).tolist():
             tokens.append(np.array(t := self._merge_long(raw[w]), np.int64))
             owners.append(np.full(len(t), w))
+        for w in np.flatnonzero(n > LONG_WORD).tolist():
+            tokens.append(t := self._encode_run(data[at[w] : end[w]]))
+            owners.append(np.full(len(t), w))
         owner = np.concatenate(owners)
         order = np.argsort(owner, kind="stable")
         return np.concatenate(tokens)[order], np.bincount(owner, minlength=len(words))
