@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timelode.operators.asof import united
+from timelode.operators.ranks import ranked
 
 
 def count_features(asked: DataFrame, events: DataFrame, ancestors: DataFrame | None = None) -> DataFrame:
@@ -38,16 +39,21 @@ def age_feature(asked: DataFrame, births: DataFrame, train: DataFrame | None = N
     return rows.crossJoin(F.broadcast(moments)).withColumn("age_z", (F.col("age") - F.col("_mean")) / F.nullif(F.col("_dev"), F.lit(0.0))).drop("_mean", "_dev", "birth_time")
 
 
+def as_arrays(counts: DataFrame, codes: DataFrame) -> DataFrame:
+    """(patient_id, prediction_time, idx, val): long counts over the numbered codes (code, idx), as sorted arrays."""
+    pairs = counts.join(codes, "code").groupBy("patient_id", "prediction_time").agg(F.sort_array(F.collect_list(F.struct("idx", F.col("n").cast("double").alias("n")))).alias("m"))
+    return pairs.select("patient_id", "prediction_time", F.col("m.idx").alias("idx"), F.col("m.n").alias("val"))
+
+
 def as_vectors(counts: DataFrame, codes: DataFrame) -> DataFrame:
-    """Sparse vectors over the numbered codes (code, idx) of long counts: what a row costs is its own codes, not the vocabulary."""
+    """Sparse vectors over the numbered codes of long counts: what a row costs is its own codes, not the vocabulary. pyspark.ml's heads need them; batched_lr takes as_arrays()."""
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
     size = int(codes.agg(F.max("idx")).first()[0] or 0) + 1
     vector = F.udf(lambda idx, n: SparseVector(size, idx, n), VectorUDT())
-    pairs = counts.join(codes, "code").groupBy("patient_id", "prediction_time").agg(F.sort_array(F.collect_list(F.struct("idx", F.col("n").cast("double").alias("n")))).alias("m"))
-    return pairs.select("patient_id", "prediction_time", vector("m.idx", "m.n").alias("features"))
+    return as_arrays(counts, codes).select("patient_id", "prediction_time", vector("idx", "val").alias("features"))
 
 
 def numbered_codes(counts: DataFrame) -> DataFrame:
     """(code, idx) with idx from 0 in the order of the codes."""
-    return counts.select("code").distinct().withColumn("idx", (F.row_number().over(Window.orderBy("code")) - 1).cast("int"))
+    return ranked(counts.select("code").distinct(), ["code"], rank="idx").withColumn("idx", F.col("idx").cast("int"))

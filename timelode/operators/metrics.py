@@ -8,6 +8,9 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from timelode.operators.bootstrap import cutoffs
+from timelode.operators.ranks import ranked
+
 
 def _by_score(preds: DataFrame, keys: list[str], weight: str | None) -> DataFrame:
     """Weights of positives and negatives at each distinct score; all curve metrics start from these rows."""
@@ -77,7 +80,7 @@ def seeded_draws(patients: DataFrame, replicates: int = 1000) -> DataFrame:
     """
     import numpy as np
 
-    numbered = patients.select("patient_id").distinct().withColumn("_i", F.row_number().over(Window.orderBy("patient_id")) - 1)
+    numbered = ranked(patients.select("patient_id").distinct(), ["patient_id"], rank="_i")
     n = numbered.count()
 
     def draw(batches):
@@ -94,17 +97,10 @@ def seeded_draws(patients: DataFrame, replicates: int = 1000) -> DataFrame:
 
 
 def hashed_draws(patients: DataFrame, replicates: int) -> DataFrame:
-    """(replicate, patient_id, times): Poisson(1) multiplicities from a hash. No counting of patients, no shuffle: the form for large data."""
+    """(replicate, patient_id, times): Poisson(1) multiplicities from a hash, for draws that are joined to rows; bootstrap.intervals makes them where they are used."""
     u = F.pmod(F.xxhash64("replicate", "patient_id"), F.lit(1 << 30)) / float(1 << 30)
-    total, p, k = 0.0, 2.718281828459045**-1, 0
-    times = F.lit(7)
-    steps = []
-    while k < 7:
-        total += p
-        steps.append((total, k))
-        k += 1
-        p /= k
-    for bound, k in reversed(steps):
+    times = F.lit(len(cutoffs()))
+    for k, bound in reversed(list(enumerate(cutoffs()))):
         times = F.when(u < bound, k).otherwise(times)
     reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
     return patients.select("patient_id").distinct().select("patient_id", reps).withColumn("times", times.cast("long")).filter("times > 0").select("replicate", "patient_id", "times")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timelode.operators.ranks import ranked
+
 #: Task groups and their tasks.
 TASK_GROUPS = {
     "operational_outcomes": ["guo_los", "guo_readmission", "guo_icu", "mimic4_los", "mimic4_mortality", "mimic4_readmission"],
@@ -87,10 +89,9 @@ def best_replicate(results: DataFrame, keys: list[str]) -> DataFrame:
 
 def buckets(rows: DataFrame, metric: str, n: int, ident: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """rows with bucket 0..n-1 of their rank by metric: quantile edges on ranks 1..count, so that each rank is cut as linear interpolation cuts it."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    rn, count = F.row_number().over(w.orderBy(metric, ident)), F.count(F.lit(1)).over(w)
-    bucket = F.when(count > 1, F.greatest(F.lit(0), F.ceil((rn - 1) * n / (count - 1)) - 1)).otherwise(F.lit(0))
-    return rows.withColumn("bucket", bucket.cast("int"))
+    rank, count = F.col("_rn"), F.col("_all")
+    bucket = F.when(count > 1, F.greatest(F.lit(0), F.ceil(rank * n / (count - 1)) - 1)).otherwise(F.lit(0))
+    return ranked(rows, [metric, ident], keys, "_rn", "_all").withColumn("bucket", bucket.cast("int")).drop("_rn", "_all")
 
 
 def brier_by_bucket(rows: DataFrame) -> DataFrame:

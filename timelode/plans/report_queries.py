@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timelode.functions import rollout_tokens
-from timelode.operators import cohort, features, heads, labels, metrics, ontology, reports, shots, timeline
+from timelode.operators import bootstrap, cohort, features, heads, labels, metrics, ontology, reports, shots, timeline
 from timelode.plans.label_queries import _LOS, _W, label_long_los
 from timelode.sources import fixtures as fx
 from timelode.sources import sinks
@@ -131,19 +131,20 @@ def prf_at_half(spark, sf):
     return _rounded(metrics.at_half(fx.predictions(spark, sf), ["split"]), "precision", "recall", "accuracy")
 
 
-def _draws(spark, sf):
-    people = fx.predictions(spark, sf).select("patient_id").distinct()
-    return people.select("patient_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("replicate")).withColumn("times", F.pmod(F.col("patient_id") * 7 + F.col("replicate") * 13, F.lit(4))).filter("times > 0")
+_M = bootstrap.MODULUS
+_TIMES = "CASE " + " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(bootstrap.cutoffs())) + f" ELSE {len(bootstrap.cutoffs())} END"
+_HASHED = f"""d AS (SELECT patient_id, replicate, {_TIMES} AS times FROM (SELECT *, CAST((x * {bootstrap.MIX} + a) % {_M} AS DOUBLE) / {_M} AS u FROM (SELECT patient_id, replicate, a, (x * x + replicate) % {_M} AS x FROM (
+    SELECT patient_id, replicate, patient_id % {_M} AS a, ((patient_id % {_M}) * {bootstrap.STEP} + replicate * {bootstrap.SPREAD} + 11) % {_M} AS x FROM (SELECT DISTINCT patient_id FROM prd), (SELECT unnest(range(1, 1001)) AS replicate)))))"""
+_INTERVAL = "round(score, 6) AS score, round(stddev_samp(v), 6) AS std, round(quantile_cont(v, 0.025), 6) AS lower, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.975), 6) AS upper"
+_OVER = "OVER (PARTITION BY model, replicate ORDER BY pred DESC)"
 
 
-@query(f"""{_PRD}, d AS (SELECT patient_id, replicate, (patient_id * 7 + replicate * 13) % 4 AS times FROM (SELECT DISTINCT patient_id FROM prd), (SELECT unnest(range(20)) AS replicate)),
-    p AS (SELECT model, replicate, y, pred, times::DOUBLE AS w FROM prd JOIN d USING (patient_id) WHERE times > 0),
-    e AS (SELECT a.model, a.replicate, {_AUC} AS v FROM p a JOIN p b ON a.model = b.model AND a.replicate = b.replicate AND a.y = 1 AND b.y = 0 GROUP BY 1, 2),
-    q AS (SELECT model, y, pred, 1.0::DOUBLE AS w FROM prd), s AS (SELECT a.model, {_AUC} AS score FROM q a JOIN q b ON a.model = b.model AND a.y = 1 AND b.y = 0 GROUP BY 1)
-    SELECT s.model, round(score, 6) AS score, round(stddev_samp(v), 6) AS std, round(quantile_cont(v, 0.025), 6) AS lower, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.975), 6) AS upper FROM s JOIN e ON s.model = e.model GROUP BY 1, score""")
+@query(f"""{_PRD}, {_HASHED}, p AS (SELECT model, 0 AS replicate, y, pred, 1.0::DOUBLE AS w FROM prd UNION ALL SELECT model, replicate, y, pred, times::DOUBLE FROM prd JOIN d USING (patient_id) WHERE times > 0),
+    g AS (SELECT model, replicate, pred, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM p GROUP BY 1, 2, 3), c AS (SELECT *, sum(pos) {_OVER} AS tp, sum(pos + neg) {_OVER} AS n FROM g),
+    e AS (SELECT model, replicate, unnest(['auroc', 'auprc', 'brier']) AS metric, unnest([sum(neg * (tp - pos / 2)) / nullif(sum(pos) * sum(neg), 0), sum(pos * tp / n) / nullif(sum(pos), 0), sum(pos * (1 - pred) * (1 - pred) + neg * pred * pred) / sum(pos + neg)]) AS v FROM c GROUP BY 1, 2),
+    s AS (SELECT model, metric, v AS score FROM e WHERE replicate = 0) SELECT s.model, s.metric, {_INTERVAL} FROM s JOIN e USING (model, metric) WHERE replicate > 0 GROUP BY s.model, s.metric, score""")
 def bootstrap_ci(spark, sf):
-    out = metrics.bootstrap(fx.predictions(spark, sf), _draws(spark, sf), ["model"]).filter("metric = 'auroc'").drop("metric")
-    return _rounded(out, "score", "std", "lower", "mean", "upper")
+    return _rounded(bootstrap.intervals(fx.predictions(spark, sf), ["model"]), "score", "std", "lower", "mean", "upper")
 
 
 def bootstrap_seeded(spark, sf):

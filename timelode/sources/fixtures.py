@@ -121,7 +121,7 @@ def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored rows: label against a score made from the text's length."""
     docs, labels = read(spark, sf_dir, "documents").select("doc_id", "n_chars"), read(spark, sf_dir, "labels")
-    return labels.join(docs, "doc_id").selectExpr("doc_id AS row_id", "pmod(doc_id, 50) AS patient_id", "toxic AS y", "quality", "pmod(n_chars * 7 + doc_id, 97) / 97.0D AS pred", "1 + pmod(doc_id, 3) AS w", "CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END AS model", "CASE WHEN pmod(doc_id, 5) = 0 THEN 'val' ELSE 'test' END AS split", "n_chars")
+    return labels.join(docs, "doc_id").selectExpr("doc_id AS row_id", "doc_id div 3 AS patient_id", "toxic AS y", "quality", "pmod(n_chars * 7 + doc_id, 97) / 97.0D AS pred", "1 + pmod(doc_id, 3) AS w", "CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END AS model", "CASE WHEN pmod(doc_id, 5) = 0 THEN 'val' ELSE 'test' END AS split", "n_chars")
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +187,7 @@ edge AS (
   SELECT 'R/' || n_regionkey AS parent, 'N/' || n_nationkey AS child FROM nation
   UNION ALL SELECT 'N/' || (p_partkey % 25), 'P/' || p_partkey FROM part)"""
 SPLITS_SQL = "spl AS (SELECT CASE WHEN (c_custkey * 97) % 100 < 70 THEN 'train' WHEN (c_custkey * 97) % 100 < 85 THEN 'val' ELSE 'test' END AS split, c_custkey AS omop_person_id FROM customer)"
-PREDICTIONS_SQL = "prd AS (SELECT l.doc_id AS row_id, l.doc_id % 50 AS patient_id, toxic AS y, quality, ((n_chars * 7 + l.doc_id) % 97) / 97.0::DOUBLE AS pred, 1 + l.doc_id % 3 AS w, CASE WHEN l.doc_id % 3 = 0 THEN 'a' ELSE 'b' END AS model, CASE WHEN l.doc_id % 5 = 0 THEN 'val' ELSE 'test' END AS split, n_chars FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
+PREDICTIONS_SQL = "prd AS (SELECT l.doc_id AS row_id, l.doc_id // 3 AS patient_id, toxic AS y, quality, ((n_chars * 7 + l.doc_id) % 97) / 97.0::DOUBLE AS pred, 1 + l.doc_id % 3 AS w, CASE WHEN l.doc_id % 3 = 0 THEN 'a' ELSE 'b' END AS model, CASE WHEN l.doc_id % 5 = 0 THEN 'val' ELSE 'test' END AS split, n_chars FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
 RESULTS_SQL = """res AS (
   SELECT (['long_los', 'readmission', 'lab_anemia', 'new_celiac'])[1 + s_suppkey % 4] AS labeling_function, (['long_los', 'readmission', 'lab_anemia', 'new_celiac'])[1 + s_suppkey % 4] AS sub_task,
          CASE WHEN s_suppkey % 3 = 0 THEN 'count' ELSE 'embed' END AS model, CASE WHEN s_suppkey % 5 < 3 THEN 'lr' ELSE 'gbm' END AS head, CAST(s_suppkey % 5 AS INT) AS replicate,
