@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,12 +13,34 @@ def labels_csv(labels: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def save_best(model, params: dict, preds: DataFrame, folder: str) -> None:
-    """A fitted head under folder: model, its parameters as JSON, and its predictions as Parquet."""
+    """A fitted head under folder: model (of pyspark.ml, or a table of weights), its predictions as Parquet, and last its parameters as JSON, which say that the rest is whole."""
     import json
 
-    model.write().overwrite().save(f"{folder}/model")
-    preds.sparkSession.createDataFrame([(json.dumps(params, sort_keys=True),)], "params string").coalesce(1).write.mode("overwrite").text(f"{folder}/params")
+    if isinstance(model, DataFrame):
+        model.write.mode("overwrite").parquet(f"{folder}/model")
+    else:
+        model.write().overwrite().save(f"{folder}/model")
     preds.write.mode("overwrite").parquet(f"{folder}/predictions")
+    preds.sparkSession.createDataFrame([(json.dumps(params, sort_keys=True),)], "params string").coalesce(1).write.mode("overwrite").text(f"{folder}/params")
+
+
+def best_params(spark: SparkSession, folder: str) -> dict | None:
+    """The parameters of the model kept under folder; None where there is none."""
+    import json
+
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/params/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        return None
+    return json.loads(spark.read.text(f"{folder}/params").first()[0])
+
+
+def save_if_better(model, params: dict, preds: DataFrame, folder: str, score: str = "auroc_val") -> bool:
+    """Keep a model in place of the one under folder if its validation score is greater, or none is there; whether it was kept."""
+    before = best_params(preds.sparkSession, folder)
+    if before is not None and not params[score] > before[score]:
+        return False
+    save_best(model, params, preds, folder)
+    return True
 
 
 def vocabulary_json(tokens: DataFrame, value: str, path: str) -> None:
