@@ -68,11 +68,11 @@ def test_study_end_to_end(spark):
 
 def test_other_heads(spark, tmp_path):
     study, events, splits = a_study(spark)
-    study.head, study.grid = "rf", {"numTrees": [3], "maxDepth": [3]}
+    study.head, study.grid = "rf", {"n_estimators": [3], "max_depth": [3]}
     sets = workflow.label_stage(study, events)
     scores = workflow.score_stage(study, workflow.feature_stage(sets, events), sets, splits, models=str(tmp_path))
     assert {r.metric: r.score for r in scores.collect()}["auroc"] == pytest.approx(1.0)
-    assert sinks.best_params(spark, f"{tmp_path}/stay/count/rf/k=-1")["numTrees"] == 3
+    assert sinks.best_params(spark, f"{tmp_path}/stay/count/rf/k=-1")["n_estimators"] == 3
 
 
 def test_a_failed_study_is_resumed(spark, tmp_path, monkeypatch):

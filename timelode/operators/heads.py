@@ -5,44 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Grids of the heads.
+from timelode.operators import leafwise
+
+#: Grids of the heads. Random forests of pyspark.ml end at a depth of 30, so a depth of 50 is fitted as 30.
 GRIDS = {
     "lr": {"C": [1e-8, 1e-6, 1e-4, 1e-2, 1e-1, 1, 1e2, 1e4]},
-    "rf": {"numTrees": [10, 20, 50, 100, 300], "maxDepth": [3, 5, 10, 20, 30]},
-    "gbm": {"maxDepth": [3, 6], "stepSize": [0.02, 0.1, 0.5]},
+    "rf": {"n_estimators": [10, 20, 50, 100, 300], "max_depth": [3, 5, 10, 20, 50]},
+    "gbm": {"max_depth": [3, 6, -1], "learning_rate": [0.02, 0.1, 0.5], "num_leaves": [10, 25, 100]},
 }
+DEEPEST = 30
 
 
-def _estimators(head: str, n: int, grid: dict | None, seed: int):
-    from itertools import product
+class Leafwise:
+    """A leaf-wise boosted model with the interface of pyspark.ml's."""
+
+    def __init__(self, model: leafwise.Boosted) -> None:
+        self.model = model
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        return self.model.transform(rows.withColumn("_array", vector_to_array("features")), "_array", "rawPrediction").drop("_array")
+
 
+def _fitted(head: str, params: dict, train: DataFrame, n: int, seed: int, trees: int):
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import MaxAbsScaler
+    from pyspark.ml.functions import vector_to_array
+
+    if head == "lr":
+        scaler = MaxAbsScaler(inputCol="features", outputCol="scaled")
+        return Pipeline(stages=[scaler, LogisticRegression(featuresCol="scaled", labelCol="y", regParam=1 / (params["C"] * n), elasticNetParam=0.0, standardization=False, maxIter=200)]).fit(train)
+    if head == "rf":
+        return RandomForestClassifier(featuresCol="features", labelCol="y", seed=seed, numTrees=params["n_estimators"], maxDepth=min(DEEPEST, params["max_depth"])).fit(train)
+    return Leafwise(leafwise.fit(train.select(vector_to_array("features").alias("features"), "y"), params["num_leaves"], params["max_depth"], params["learning_rate"], trees))
+
+
+def fit_best(train: DataFrame, val: DataFrame, head: str = "lr", grid: dict | None = None, seed: int = 0, trees: int = 100):
+    """(model, params, AUROC on val) of the grid point that ranks val best; fitted on train (features, y) only. trees is the length of a boosted model."""
+    from itertools import product
 
-    grid = grid or GRIDS[head]
-    for values in product(*grid.values()):
-        params = dict(zip(grid, values, strict=True))
-        if head == "lr":
-            scaler = MaxAbsScaler(inputCol="features", outputCol="scaled")
-            model = LogisticRegression(featuresCol="scaled", labelCol="y", regParam=1 / (params["C"] * n), elasticNetParam=0.0, standardization=False, maxIter=200)
-            yield params, Pipeline(stages=[scaler, model])
-        elif head == "rf":
-            yield params, RandomForestClassifier(featuresCol="features", labelCol="y", seed=seed, **params)
-        else:
-            yield params, GBTClassifier(featuresCol="features", labelCol="y", seed=seed, maxIter=50, minInstancesPerNode=1, **params)
-
-
-def fit_best(train: DataFrame, val: DataFrame, head: str = "lr", grid: dict | None = None, seed: int = 0):
-    """(model, params, AUROC on val) of the grid point that ranks val best; fitted on train (features, y) only."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
     judge = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="rawPrediction", metricName="areaUnderROC")
-    train, best = train.persist(), None
+    train, best, grid = train.persist(), None, grid or GRIDS[head]
     try:
         n = train.count()
-        for params, estimator in _estimators(head, n, grid, seed):
-            model = estimator.fit(train)
+        for values in product(*grid.values()):
+            params = dict(zip(grid, values, strict=True))
+            model = _fitted(head, params, train, n, seed, trees)
             area = judge.evaluate(model.transform(val))
             if best is None or area > best[2]:
                 best = (model, params, area)
@@ -55,6 +67,8 @@ def probability(model, rows: DataFrame) -> DataFrame:
     """rows with pred, the probability of class 1."""
     from pyspark.ml.functions import vector_to_array
 
+    if isinstance(model, Leafwise):
+        return model.transform(rows).withColumnRenamed("rawPrediction", "pred")
     return model.transform(rows).withColumn("pred", vector_to_array("probability")[1])
 
 

@@ -395,11 +395,11 @@ def protonet_predict(spark, sf):
     return _rounded(heads.nearest_prototype(v.filter("vec_id % 2 = 1"), means, ["vec_id"]), "probability")
 
 
-def _head(spark, sf, head, grid):
+def _head(spark, sf, head, grid, trees=100):
     from pyspark.ml.functions import array_to_vector
 
     rows = _vectors(spark, sf).select("vec_id", (F.col("y") == 1).cast("double").alias("y"), array_to_vector("features").alias("features"))
-    model, _, _ = heads.fit_best(rows.filter("vec_id % 5 < 3"), rows.filter("vec_id % 5 = 3"), head, grid)
+    model, _, _ = heads.fit_best(rows.filter("vec_id % 5 < 3"), rows.filter("vec_id % 5 = 3"), head, grid, trees=trees)
     return heads.probability(model, rows.filter("vec_id % 5 = 4")).select("vec_id", "y", "pred")
 
 
@@ -408,11 +408,11 @@ def head_lr(spark, sf):
 
 
 def head_rf(spark, sf):
-    return _head(spark, sf, "rf", {"numTrees": [10], "maxDepth": [3, 5]})
+    return _head(spark, sf, "rf", {"n_estimators": [10], "max_depth": [3, 5]})
 
 
 def head_gbm(spark, sf):
-    return _head(spark, sf, "gbm", {"maxDepth": [3], "stepSize": [0.1]})
+    return _head(spark, sf, "gbm", {"max_depth": [3, -1], "learning_rate": [0.1], "num_leaves": [10]}, 10)
 
 
 for _f in (head_lr, head_rf, head_gbm):

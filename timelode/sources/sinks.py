@@ -16,12 +16,18 @@ def save_best(model, params: dict, preds: DataFrame, folder: str) -> None:
     """A fitted head under folder: model (of pyspark.ml, or a table of weights), its predictions as Parquet, and last its parameters as JSON, which say that the rest is whole."""
     import json
 
+    from timelode.operators.heads import Leafwise
+
+    spark = preds.sparkSession
+    if isinstance(model, Leafwise):
+        trees = [(i, *map(list, (t.feature, t.cut, t.left, t.right, t.value)), model.model.base, [e.tolist() for e in model.model.edges]) for i, t in enumerate(model.model.trees)]
+        model = spark.createDataFrame(trees, "tree int, feature array<int>, cut array<int>, left array<int>, right array<int>, value array<double>, base double, edges array<array<double>>")
     if isinstance(model, DataFrame):
         model.write.mode("overwrite").parquet(f"{folder}/model")
     else:
         model.write().overwrite().save(f"{folder}/model")
     preds.write.mode("overwrite").parquet(f"{folder}/predictions")
-    preds.sparkSession.createDataFrame([(json.dumps(params, sort_keys=True),)], "params string").coalesce(1).write.mode("overwrite").text(f"{folder}/params")
+    spark.createDataFrame([(json.dumps(params, sort_keys=True),)], "params string").coalesce(1).write.mode("overwrite").text(f"{folder}/params")
 
 
 def best_params(spark: SparkSession, folder: str) -> dict | None:
