@@ -17,6 +17,48 @@ TASK_GROUPS = {
     "chexpert": ["chexpert"],
 }
 
+#: Names of tasks and task groups in print.
+PAPER_NAMES = {
+    "guo_los": "Long LOS",
+    "guo_readmission": "30-day Readmission",
+    "guo_icu": "ICU Admission",
+    "new_pancan": "Pancreatic Cancer",
+    "new_celiac": "Celiac",
+    "new_lupus": "Lupus",
+    "new_acutemi": "Acute MI",
+    "new_hypertension": "Hypertension",
+    "new_hyperlipidemia": "Hyperlipidemia",
+    "lab_thrombocytopenia": "Thrombocytopenia",
+    "lab_hyperkalemia": "Hyperkalemia",
+    "lab_hypoglycemia": "Hypoglycemia",
+    "lab_hyponatremia": "Hyponatremia",
+    "lab_anemia": "Anemia",
+    "chexpert": "Chest X-ray Findings",
+    "mimic4_los": "Long LOS (MIMIC-IV)",
+    "mimic4_readmission": "30-day Readmission (MIMIC-IV)",
+    "mimic4_mortality": "Inpatient Mortality (MIMIC-IV)",
+}
+GROUP_NAMES = {
+    "operational_outcomes": "Operational Outcomes",
+    "lab_values": "Anticipating Lab Test Results",
+    "new_diagnoses": "Assignment of New Diagnoses",
+    "chexpert": "Anticipating Chest X-ray Findings",
+}
+
+
+def looked_up(names: dict[str, str], key: Column) -> Column:
+    """The name of a key, or the key itself where there is none."""
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[key], key)
+
+
+def in_print(df: DataFrame, task: str = "labeling_function", groups: dict[str, list[str]] = TASK_GROUPS) -> DataFrame:
+    """df with task_name, task_group, group_name, and task_order: the place of a task in the order of the groups; tasks of no group come last."""
+    of_group = {t: g for g, tasks in groups.items() for t in tasks}
+    place = {t: i for i, t in enumerate(of_group)}
+    group = F.create_map(*(F.lit(x) for pair in of_group.items() for x in pair))[F.col(task)]
+    order = F.coalesce(F.create_map(*(F.lit(x) for pair in place.items() for x in pair))[F.col(task)], F.lit(len(place)))
+    return df.withColumns({"task_name": looked_up(PAPER_NAMES, F.col(task)), "task_group": group, "group_name": looked_up(GROUP_NAMES, group), "task_order": order})
+
 
 def matching(df: DataFrame, score: str | None = None, labeling_function: str | None = None, task_group: str | None = None, sub_tasks: list[str] | None = None, model_heads: list[tuple[str, str]] | None = None, groups: dict[str, list[str]] = TASK_GROUPS, ks: list[int] | None = None) -> DataFrame:
     """Rows that meet all filters given; groups names the tasks of each task group."""
@@ -135,9 +177,9 @@ def histogram(rows: DataFrame, column: str, most: float, bins: int) -> DataFrame
 MOST_SHOTS = {"new_celiac": 64}
 
 
-def curve(means: DataFrame, most: dict[str, int] | None = None) -> DataFrame:
-    """Few-shot curves: all rows (k = -1) are drawn at twice the largest k. most bounds the k of some tasks."""
-    for task, k in (most or {}).items():
+def curve(means: DataFrame, most: dict[str, int] = MOST_SHOTS) -> DataFrame:
+    """Few-shot curves: all rows (k = -1) are drawn at twice the largest k. most bounds the k of some tasks, by default that of tasks with few training rows."""
+    for task, k in most.items():
         means = means.filter((F.col("labeling_function") != task) | (F.col("k") <= k))
     top = F.max(F.when(F.col("k") > 0, F.col("k"))).over(Window.partitionBy("labeling_function"))
     return means.withColumn("x", F.when(F.col("k") == -1, 2 * F.coalesce(top, F.lit(1))).otherwise(F.col("k")))
@@ -188,3 +230,26 @@ def html(df: DataFrame) -> str:
 
     row = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{escape('' if c is None else str(c))}</{tag}>" for c in cells) + "</tr>"
     return "<table>\n" + "\n".join([row(df.columns, "th"), *(row(r, "td") for r in _report_rows(df))]) + "\n</table>"
+
+
+def csv_lines(df: DataFrame) -> str:
+    """A report table as CSV."""
+    import csv
+    import io
+
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator="\n")
+    writer.writerow(df.columns)
+    writer.writerows(_report_rows(df))
+    return out.getvalue()
+
+
+FORMS = {"md": (markdown, "# {}\n{}\n\n"), "html": (html, "<h5>{}</h5>\n{}\n\n"), "tex": (latex, "% {}\n{}\n\n"), "csv": (csv_lines, "# {}\n{}\n")}
+
+
+def merged_tables(df: DataFrame, form: str, task: str = "sub_task") -> str:
+    """The tables of all tasks of a report one below the other, in the order of the task groups, each under its name in print."""
+    show, frame = FORMS[form]
+    # One row for each task.
+    tasks = in_print(df.select(task).distinct(), task).orderBy("task_order", task).select(task, "task_name")
+    return "".join(frame.format(r[1], show(df.filter(F.col(task).eqNullSafe(r[0])).drop(task))) for r in _report_rows(tasks))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timelode.functions import rollout_tokens
-from timelode.operators import bootstrap, cohort, features, heads, labels, metrics, ontology, reports, shots, timeline
+from timelode.operators import bootstrap, cohort, features, heads, labels, metrics, ontology, reports, shots, sketches, timeline
 from timelode.plans.label_queries import _LOS, _W, label_long_los
 from timelode.sources import fixtures as fx
 from timelode.sources import sinks
@@ -30,6 +30,8 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+_RES = f"WITH {RESULTS_SQL}"
+
 # Features
 
 
@@ -58,6 +60,18 @@ def age_feature(spark, sf):
     return _rounded(features.age_feature(_asked(spark, sf), fx.births(spark, sf)), "age", "age_z")
 
 
+@query(f"{_RES} SELECT DISTINCT labeling_function, CASE labeling_function WHEN 'lab_anemia' THEN 'Anemia' WHEN 'new_celiac' THEN 'Celiac' ELSE labeling_function END AS task_name, CASE labeling_function WHEN 'lab_anemia' THEN 'Anticipating Lab Test Results' WHEN 'new_celiac' THEN 'Assignment of New Diagnoses' ELSE '-' END AS group_name, CASE labeling_function WHEN 'lab_anemia' THEN 10 WHEN 'new_celiac' THEN 14 ELSE 18 END AS task_order FROM res")
+def results_in_print(spark, sf):
+    out = reports.in_print(fx.results(spark, sf).select("labeling_function").distinct())
+    return out.select("labeling_function", "task_name", F.coalesce("group_name", F.lit("-")).alias("group_name"), "task_order")
+
+
+@query(f"{_W}, a AS (SELECT ip.patient_id, end_time AS prediction_time, date_diff('microsecond', first_time, end_time) / (86400e6 * 365.25) AS age FROM ip JOIN bnd USING (patient_id)), {SPLITS_SQL}, m AS (SELECT avg(age) AS mu, stddev_samp(age) AS sd FROM a JOIN spl ON patient_id = omop_person_id WHERE split = 'train') SELECT patient_id, prediction_time, round(age, 6) AS age, round((age - mu) / sd, 6) AS age_z FROM a, m")
+def age_feature_by_train(spark, sf):
+    train = fx.splits(spark, sf).filter("split = 'train'").select(F.col("omop_person_id").alias("patient_id"))
+    return _rounded(features.age_feature(_asked(spark, sf), fx.births(spark, sf), train), "age", "age_z")
+
+
 # Samples
 
 
@@ -168,7 +182,6 @@ def brier_by_quartile(spark, sf):
 
 # Reports
 
-_RES = f"WITH {RESULTS_SQL}"
 _MEANS = "SELECT labeling_function, sub_task, model, head, score, k, avg(value) AS mean_value, coalesce(stddev_samp(value), 0) AS std_value FROM res GROUP BY ALL"
 
 
@@ -316,6 +329,16 @@ def task_prevalence(spark, sf):
     return _rounded(cohort.prevalence(rows, F.col("value")), "prevalence")
 
 
+@query(f"{_W}, n AS (SELECT count(*) AS n_events, count(DISTINCT patient_id) AS p, count(DISTINCT code) AS c, count(DISTINCT visit_id) AS v FROM ev) SELECT n_events, true AS near_patients, true AS near_codes, true AS near_visits FROM n WHERE p + c + v >= 0")
+def dataset_size_by_days(spark, sf):
+    """By sketches of two halves of the events, merged; each count is within four standard errors of the exact one."""
+    events = fx.timeline(spark, sf)
+    halves = [sketches.days(events.filter(F.pmod("event_idx", F.lit(2)) == k)) for k in (0, 1)]
+    exact = cohort.size_counts(events).select(*(F.col(f"n_{k}").alias(f"exact_{k}") for k in sketches.DISTINCT))
+    near = lambda k: (F.abs(F.col(f"n_{k}") / F.col(f"exact_{k}") - 1) <= 4 * sketches.RELATIVE_ERROR).alias(f"near_{k}")
+    return sketches.sizes(sketches.merged_days(*halves)).crossJoin(F.broadcast(exact)).select("n_events", *(near(k) for k in sketches.DISTINCT))
+
+
 @query(f"{_W} SELECT count(DISTINCT patient_id) AS n_patients, count(*) AS n_events, count(DISTINCT code) AS n_codes, count(DISTINCT visit_id) AS n_visits FROM ev")
 def dataset_size(spark, sf):
     return cohort.size_counts(fx.events(spark, sf))

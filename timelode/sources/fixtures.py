@@ -27,7 +27,7 @@ def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_custkey AS patient_id",
         f"o_orderdate + {_HOURS.format('o_orderkey % 24')} AS start_time",
         f"o_orderdate + {_HOURS.format('o_orderkey % 24 + (o_orderkey * 7) % 337')} AS end_time",
-        "CASE o_orderstatus WHEN 'F' THEN 'Visit/IP' WHEN 'O' THEN 'CARE_SITE/7928450' ELSE 'Visit/OP' END AS code",
+        "CASE o_orderstatus WHEN 'F' THEN 'Visit/IP' WHEN 'O' THEN 'CARE_SITE/7928450' ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'Visit/ERIP' ELSE 'Visit/OP' END END AS code",
         "CAST(NULL AS STRING) AS value", "CAST(NULL AS STRING) AS unit",
         "CASE o_orderstatus WHEN 'O' THEN 'visit_detail' ELSE 'visit_occurrence' END AS omop_table",
         "o_orderkey AS visit_id", "o_orderkey AS seq",
@@ -149,7 +149,7 @@ _NUMBER_SQL = "CASE l_linenumber % 5 WHEN 0 THEN CAST(q * 4 AS VARCHAR) WHEN 1 T
 VISITS_SQL = """
 vis AS (
   SELECT o_custkey AS patient_id, o_orderdate + to_hours(o_orderkey % 24) AS start_time, o_orderdate + to_hours(o_orderkey % 24 + (o_orderkey * 7) % 337) AS end_time,
-         CASE o_orderstatus WHEN 'F' THEN 'Visit/IP' WHEN 'O' THEN 'CARE_SITE/7928450' ELSE 'Visit/OP' END AS code, CAST(NULL AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS unit,
+         CASE o_orderstatus WHEN 'F' THEN 'Visit/IP' WHEN 'O' THEN 'CARE_SITE/7928450' ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'Visit/ERIP' ELSE 'Visit/OP' END END AS code, CAST(NULL AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS unit,
          CASE o_orderstatus WHEN 'O' THEN 'visit_detail' ELSE 'visit_occurrence' END AS omop_table, o_orderkey AS visit_id, o_orderkey AS seq
   FROM orders)"""
 EVENTS_SQL = (

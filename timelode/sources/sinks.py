@@ -49,9 +49,32 @@ def save_if_better(model, params: dict, preds: DataFrame, folder: str, score: st
     return True
 
 
+def document(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file, in any store that Spark writes to; it is there whole or not at all."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    aside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.writing")
+    out = files.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files.delete(target, False)
+    if not files.rename(aside, target):
+        raise OSError(f"{path} could not be written")
+
+
+#: Tokens that a vocabulary document may have.
+MOST_TOKENS = 1_000_000
+
+
 def vocabulary_json(tokens: DataFrame, value: str, path: str) -> None:
-    """token -> code or token -> description, as lines {"token", value} in the order of the tokens."""
-    tokens.select("token", value).orderBy("token").write.mode("overwrite").json(path)
+    """token -> code or token -> description as one JSON document, tokens in order; a vocabulary of over MOST_TOKENS is refused."""
+    import json
+
+    rows = tokens.select("token", value).orderBy("token").limit(MOST_TOKENS + 1).collect()
+    if len(rows) > MOST_TOKENS:
+        raise ValueError(f"a vocabulary has at most {MOST_TOKENS} tokens")
+    document(tokens.sparkSession, path, json.dumps({str(r[0]): r[1] for r in rows}, ensure_ascii=False, indent=0))
 
 
 def upsert_results(existing: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("labeling_function", "sub_task", "model", "head", "replicate", "k", "score")) -> DataFrame:
@@ -92,12 +115,30 @@ def meds_labels(labels: DataFrame, value: Column | None = None) -> DataFrame:
     )
 
 
-def write_meds(folder: str, data: DataFrame, codes: DataFrame, splits: DataFrame, labels: dict[str, DataFrame]) -> None:
-    """The whole layout under folder, with rows counted as they are written and once more on the way back."""
-    parts = {"data": data, "metadata/codes": codes, "metadata/subject_splits": splits} | {f"labels/{k}": v for k, v in labels.items()}
+#: What a data set's description says of its format and of how it was made.
+DATASET = {"dataset_name": "EHRSHOT", "dataset_version": "1.0", "etl_name": "EHRSHOT => MEDS ETL", "etl_version": "1.0", "meds_version": "0.3.3"}
+
+
+def write_meds(folder: str, data: DataFrame, codes: DataFrame, splits: DataFrame, labels: dict[str, DataFrame], shards: int | None = None, dataset: dict[str, str] = DATASET) -> None:
+    """The whole layout under folder, with rows counted as they are written and once more on the way back.
+
+    Events are dealt to shards by ranges of subjects, so that a subject's rows are in one shard, in the order of
+    their times; metadata/shards says which subjects and how many rows each file has. metadata/dataset.json is
+    written last, and so tells that the rest is whole.
+    """
+    import datetime
+    import json
+
+    spark = data.sparkSession
+    dealt = data.repartitionByRange(*([shards] if shards else []), "subject_id").sortWithinPartitions("subject_id", "time")
+    parts = {"data": dealt, "metadata/codes": codes, "metadata/subject_splits": splits} | {f"labels/{k}": v for k, v in labels.items()}
     for name, df in parts.items():
         seen = Observation()
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder}/{name}")
-        back = df.sparkSession.read.parquet(f"{folder}/{name}")
+        back = spark.read.parquet(f"{folder}/{name}")
         if [(f.name, f.dataType) for f in back.schema] != [(f.name, f.dataType) for f in df.schema] or back.count() != seen.get.get("n", 0):
             raise ValueError(f"{name} did not survive its round trip")
+    file = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file")
+    manifest = spark.read.parquet(f"{folder}/data").groupBy(file).agg(F.min("subject_id").alias("first_subject"), F.max("subject_id").alias("last_subject"), F.countDistinct("subject_id").alias("n_subjects"), F.count(F.lit(1)).alias("n_rows"))
+    manifest.write.mode("overwrite").parquet(f"{folder}/metadata/shards")
+    document(spark, f"{folder}/metadata/dataset.json", json.dumps(dataset | {"created_at": str(datetime.datetime.now())}))
