@@ -345,3 +345,56 @@ def test_repeated_vectors(spark, tmp_path):
 def test_slices_cover_all_rows():
     column = pa.array(["a" * n for n in (0, 5, 100, 3, 0, 0, 7)] + [None])
     assert [i for a, b, *_ in text_slices(column, 10) for i in range(a, b)] == list(range(8))
+
+
+@pytest.mark.parametrize("languages", [3, 40])
+def test_many_languages_are_walked_to_the_same_outcome(monkeypatch, languages):
+    rng = np.random.default_rng(languages)
+    field = langid.Field([f"l{k:02d}" for k in range(languages)], rng.normal(size=(1 << 10, languages)).astype(np.float32), rng.normal(size=(languages, languages)))
+    first = np.array([0, 7, 7, 8, 75])
+    potentials = rng.normal(size=(75, languages))
+    monkeypatch.setattr(langid, "MANY", 1000)
+    want = field.marginals(potentials, first)
+    ends = rng.random(languages), rng.random(languages)
+    one = field.marginals(potentials[:7], first[:2], *ends)
+    text = " ".join(words(600, 4, 90)).replace("w", "x ").encode()
+    scanned = _words.scan(np.frombuffer(text, np.uint8), np.array([0, len(text)]), parts=_words.NOT_LETTER)
+    whole = field.marginals(field.potentials(scanned), scanned.first).sum(axis=0)
+    monkeypatch.setattr(langid, "MANY", 2)
+    assert np.allclose(field.marginals(potentials, first), want) and np.allclose(field.marginals(potentials[:7], first[:2], *ends), one)
+    monkeypatch.setattr(langid, "SEGMENT", 100)
+    assert np.allclose(field.long_sum(scanned), whole)
+
+
+def test_no_language_is_left_out():
+    names = [f"l{k:03d}" for k in range(140)]
+    texts, langs = [], []
+    for k, name in enumerate(names):
+        for i in range(3):
+            texts.append(" ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{w}" for w in words(30, i, 20)).replace("w", "q"))
+            langs.append(name)
+    field = langid.learn(texts, langs)
+    found, _ = langid._predict(field, pa.array(texts))
+    assert len(set(found)) > 130 and sum(a == b for a, b in zip(found, langs, strict=True)) > 0.95 * len(texts)
+    assert langid.bits_for(4) == 16 and langid.bits_for(256) == 16 and langid.bits_for(4096) == 12
+
+
+def test_transition_counts_of_windows():
+    """Expected transitions against the sum over all ways to label two short sequences."""
+    from itertools import pairwise, product
+
+    rng = np.random.default_rng(1)
+    field = langid.Field(["a", "b", "c"], np.zeros((4, 3)), rng.normal(size=(3, 3)))
+    potential, first, move = rng.normal(size=(9, 3)), np.array([0, 5, 9]), np.exp(field.transition)
+    unary, pair = langid._expected(field, potential, first)
+    want, each = np.zeros((3, 3)), np.zeros((9, 3))
+    for a, b in ((0, 5), (5, 9)):
+        # The walk begins with an even message, which passes one transition.
+        weight = lambda p, a=a: move[:, p[0]].sum() * np.prod([np.exp(potential[a + i, k]) for i, k in enumerate(p)]) * np.prod([move[x, y] for x, y in pairwise(p)])
+        ways = {p: weight(p) for p in product(range(3), repeat=b - a)}
+        for p, v in ways.items():
+            for x, y in pairwise(p):
+                want[x, y] += v / sum(ways.values())
+            for i, k in enumerate(p):
+                each[a + i, k] += v / sum(ways.values())
+    assert pair == pytest.approx(want) and unary == pytest.approx(each)

@@ -8,8 +8,9 @@ text. A text's language is the one with the greatest mean probability over its w
 
 Long texts cost no long loops: words are laid out in blocks, each block's product of transition matrices is
 taken for all blocks of a batch at once, the products are chained along each text, and the blocks are then
-filled in, again all at once. The outcome is that of word-by-word recursions. A text of more than SEGMENT
-words is walked twice, segment by segment, with messages from its other segments.
+filled in, again all at once. The outcome is that of word-by-word recursions. With MANY languages, where those
+products would cost more, the recursions of many texts run side by side. Slices of texts shrink as languages
+grow, so that the memory of a slice stays. A text of more than SEGMENT words (fewer with many languages) is walked twice, segment by segment, with messages from its other segments.
 
 Learning takes windows of WINDOW words from all over the sampled texts, on the executors, and of each language
 the SAMPLE_WINDOWS with the least hashes; only they reach the driver.
@@ -30,12 +31,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timelode.llm._common import bucket_of, lean, small_arrow, small_batches, table, text_slices
+from timelode.llm._common import SLICE_BYTES, bucket_of, lean, small_arrow, small_batches, table, text_slices, written
 from timelode.llm._words import _BYTE, NOT_LETTER, Words, _power, mix, scan
 
 BITS = 16
-#: Texts whose windows are drawn from, about so many for each language, chosen by a hash of their id; windows of each language at most; languages at most, the most frequent ones.
-SAMPLE_PER_LANGUAGE, SAMPLE_WINDOWS, MOST_LANGUAGES = 500, 3000, 128
+#: Texts whose windows are drawn from, about so many for each language, chosen by a hash of their id; windows of each language at most.
+SAMPLE_PER_LANGUAGE, SAMPLE_WINDOWS = 500, 3000
+#: Windows of all languages at most: with many languages each has fewer. Weights of all languages at most: with over 256 languages features share them.
+ALL_WINDOWS, ALL_WEIGHTS = 400_000, 1 << 24
+#: From so many languages on, words are walked one after another, as products of transitions would cost more.
+MANY = 16
 #: Words of a training window.
 WINDOW = 40
 #: Words of a text that are looked at together.
@@ -52,12 +57,17 @@ def distinct_words(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words.starts[first], words.ends[first], which
 
 
-def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bits_for(languages: int) -> int:
+    """How many bits of a feature's hash tell its weights, given the number of languages."""
+    return min(BITS, max(8, (ALL_WEIGHTS // max(1, languages)).bit_length() - 1))
+
+
+def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(features, word they are of), in word order: prefixes and suffixes of 1-4 bytes, n-grams of 2-4 bytes, the word itself."""
     up, down = _power(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    piece = lambda a, b, kind: mix(((sums[b] - sums[a]) * down[a]) ^ np.uint64(kind << 8), 11) >> np.uint64(64 - BITS)
+    piece = lambda a, b, kind: mix(((sums[b] - sums[a]) * down[a]) ^ np.uint64(kind << 8), 11) >> np.uint64(64 - bits)
     n, word = ends - starts, np.arange(len(starts))
     out, owner = [piece(starts, ends, 0)], [word]
     for k in (1, 2, 3, 4):
@@ -84,10 +94,18 @@ class Field:
     weight: np.ndarray
     transition: np.ndarray
 
+    @property
+    def bits(self) -> int:
+        return len(self.weight).bit_length() - 1
+
+    def portion(self, size: int) -> int:
+        """What of a size, meant for up to four languages, keeps the memory of more languages as it is."""
+        return max(1, size * 4 // max(4, len(self.languages)))
+
     def potentials(self, words: Words) -> np.ndarray:
         """[words, languages] log potentials."""
         starts, ends, which = distinct_words(words)
-        feature, owner = word_features(words.data, starts, ends)
+        feature, owner = word_features(words.data, starts, ends, self.bits)
         sums = np.add.reduceat(self.weight[feature], np.searchsorted(owner, np.arange(len(starts)))) / np.sqrt(np.bincount(owner))[:, None]
         return sums[which]
 
@@ -120,6 +138,8 @@ class Field:
     def marginals(self, potentials: np.ndarray, first: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
         """[words, languages] probabilities by forward-backward over the sequences first[i]:first[i+1]; before and after are messages from beyond their ends."""
         move = np.exp(self.transition)
+        if len(move) >= MANY:
+            return self._walked(potentials, first, before, after)
         grid, there, row, col, first_block, product = self._laid_out(potentials, first)
         total, labels, blocks = len(grid), grid.shape[2], np.diff(first_block)
         enter, leave = np.full((total, labels), 1 / labels), np.full((total, labels), 1 / labels)
@@ -142,12 +162,49 @@ class Field:
             z = np.where(there[:, u, None], _unit((grid[:, u] * z) @ move.T, 1), z)
         return _unit(ahead[row, col] * back[row, col], 1)
 
+    def _walked(self, potentials: np.ndarray, first: np.ndarray, before: np.ndarray | None, after: np.ndarray | None) -> np.ndarray:
+        """marginals() word after word, for all sequences at once, sequences of like length together."""
+        move, labels = np.exp(self.transition), potentials.shape[1]
+        e = np.exp(potentials - potentials.max(axis=1, keepdims=True))
+        n, out = np.diff(first), np.empty_like(e)
+        order = np.argsort(n, kind="stable")[np.count_nonzero(n == 0) :]
+        for k in range(0, len(order), 64):
+            own = order[k : k + 64]
+            long, at = int(n[own].max()), first[:-1][own]
+            a = np.full((len(own), labels), 1 / labels) if before is None else np.repeat(before[None], len(own), 0)
+            z = np.full((len(own), labels), 1 / labels) if after is None else np.repeat(after[None], len(own), 0)
+            for t in range(long):
+                live = np.flatnonzero(n[own] > t)
+                a[live] = _unit((a[live] @ move) * e[at[live] + t], 1)
+                out[at[live] + t] = a[live]
+            for t in reversed(range(long)):
+                live = np.flatnonzero(n[own] > t)
+                here = at[live] + t
+                out[here] = _unit(out[here] * z[live], 1)
+                z[live] = _unit((e[here] * z[live]) @ move.T, 1)
+        return out
+
+    def passed(self, potentials: np.ndarray, message: np.ndarray, back: bool = False) -> np.ndarray:
+        """A message handed on through one sequence, from its start to its end or back."""
+        move, e = np.exp(self.transition), np.exp(potentials - potentials.max(axis=1, keepdims=True))
+        for row in e[::-1] if back else e:
+            message = move @ (row * message) if back else (message @ move) * row
+            message = message / message.sum()
+        return message
+
     def long_sum(self, words: Words) -> np.ndarray:
         """The sum of the words' probabilities of one long text, segment by segment."""
-        cut = [*range(0, len(words.starts), SEGMENT), len(words.starts)]
+        cut = [*range(0, len(words.starts), self.portion(SEGMENT)), len(words.starts)]
         parts = [words.between(a, b) for a, b in zip(cut, cut[1:], strict=False)]
         labels = len(self.languages)
         even = np.full(labels, 1 / labels)
+        if labels >= MANY:
+            before, after = [even], [even]
+            for p in parts[:-1]:
+                before.append(self.passed(self.potentials(p), before[-1]))
+            for p in parts[:0:-1]:
+                after.append(self.passed(self.potentials(p), after[-1], True))
+            return sum(self.marginals(self.potentials(p), np.array([0, len(p.starts)]), x, y).sum(axis=0) for p, x, y in zip(parts, before, after[::-1], strict=True))
         products = [self.product(self.potentials(p)) for p in parts]
         before, after = [even], [even]
         for p in products[:-1]:
@@ -166,7 +223,7 @@ def learn(texts: list[str], langs: list[str], seed: int = 5) -> Field:
     languages = sorted(set(langs))
     label = {k: i for i, k in enumerate(languages)}
     count, rng = len(languages), np.random.default_rng(seed)
-    field = Field(languages, np.zeros((1 << BITS, count)), np.zeros((count, count)))
+    field = Field(languages, np.zeros((1 << bits_for(count), count), np.float32), np.zeros((count, count)))
     windows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
     column = pc.utf8_lower(pa.array(texts, pa.string()))
     for i, _, data, offsets in text_slices(column):
@@ -174,7 +231,7 @@ def learn(texts: list[str], langs: list[str], seed: int = 5) -> Field:
         if not len(words.starts):
             continue
         starts, ends, which = distinct_words(words)
-        feature, owner = word_features(words.data, starts, ends)
+        feature, owner = word_features(words.data, starts, ends, field.bits)
         at = np.searchsorted(owner, np.arange(len(starts) + 1))
         for d in range(len(offsets) - 1):
             a, b = words.first[d : d + 2]
@@ -204,16 +261,19 @@ def learn(texts: list[str], langs: list[str], seed: int = 5) -> Field:
             unary, pair = _expected(field, potential, first)
             error = unary
             error[np.arange(len(y)), y] -= 1
-            flat = np.zeros_like(field.weight)
-            np.add.at(flat, f, (error * scale[:, None])[word])
+            # Only the features of the batch have a gradient.
+            rows, at = np.unique(f, return_inverse=True)
+            flat = np.zeros((len(rows), count))
+            np.add.at(flat, at, (error * scale[:, None])[word])
             inner = np.ones(len(y), bool)
             inner[first[:-1]] = False
             at = np.flatnonzero(inner)
             np.add.at(pair, (y[at - 1], y[at]), -1)
-            for grad, param, square in ((flat / BATCH, field.weight, square_w), (pair / BATCH, field.transition, square_t)):
-                square += grad * grad
-                param -= RATE * (grad / np.sqrt(square) + DECAY * param)
-    field.weight = field.weight.astype(np.float32)
+            flat, pair = flat / BATCH, pair / BATCH
+            square_w[rows] += flat * flat
+            field.weight[rows] -= RATE * (flat / np.sqrt(square_w[rows]) + DECAY * field.weight[rows])
+            square_t += pair * pair
+            field.transition -= RATE * (pair / np.sqrt(square_t) + DECAY * field.transition)
     return field
 
 
@@ -240,9 +300,10 @@ def _expected(field: Field, potential: np.ndarray, first: np.ndarray) -> tuple[n
     unary = ahead * back
     unary /= unary.sum(axis=2, keepdims=True)
     right = grid[:, 1:] * back[:, 1:]
-    joint = ahead[:, :-1, :, None] * move * right[:, :, None, :]
-    joint /= joint.sum(axis=(2, 3), keepdims=True)
-    return unary[seq, col], (joint * there[:, 1:, None, None]).sum(axis=(0, 1))
+    # The sum of a pair's joint probabilities, and then all pairs as one matrix product.
+    total = np.einsum("bti,ij,btj->bt", ahead[:, :-1], move, right, optimize=True)
+    share = np.where(there[:, 1:], 1 / total, 0.0)
+    return unary[seq, col], move * np.einsum("bti,btj->ij", ahead[:, :-1] * share[:, :, None], right, optimize=True)
 
 
 def windows_of(texts: DataFrame) -> DataFrame:
@@ -266,15 +327,15 @@ def fit(docs: DataFrame, train: Column | None = None, per_language: int = SAMPLE
     """A field of a bounded sample of windows of the documents that meet train and name a language."""
     train = bucket_of() != 0 if train is None else train
     own = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    # One row for each of the most frequent languages.
-    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not counts:
+    # One row for each language.
+    counts = written(own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    languages = counts.count()
+    if not languages:
         return Field([], np.zeros((1 << BITS, 0)), np.zeros((0, 0)))
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(per_language / n)).otherwise(share)
+    most = max(1, min(most, ALL_WINDOWS // languages))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    windows = windows_of(own.filter(place < share)).distinct()
+    drawn = own.join(counts, "lang").filter(place * F.col("n") < per_language)
+    windows = windows_of(drawn).distinct()
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("window"), "window"))
     with small_arrow(docs.sparkSession):
         some = windows.withColumn("nth", nth).filter(F.col("nth") <= most).select("lang", "window").toArrow()
@@ -286,10 +347,10 @@ def _predict(field: Field, column: pa.Array) -> tuple[list[str], np.ndarray]:
     langs, scores = [], []
     lettered = np.asarray(pc.match_substring_regex(column, r"\p{L}"))
     lowered = pc.utf8_lower(column)
-    for i, j, data, offsets in text_slices(lowered):
+    for i, j, data, offsets in text_slices(lowered, field.portion(SLICE_BYTES)):
         words = scan(data, offsets, parts=NOT_LETTER)
         mean = np.zeros((j - i, max(1, len(field.languages))))
-        if field.languages and j - i == 1 and len(words.starts) > SEGMENT:
+        if field.languages and j - i == 1 and len(words.starts) > field.portion(SEGMENT):
             mean[0] = field.long_sum(words) / len(words.starts)
         elif len(words.starts) and field.languages:
             p = field.marginals(field.potentials(words), words.first)
