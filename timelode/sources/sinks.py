@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -120,7 +120,7 @@ DATASET = {"dataset_name": "EHRSHOT", "dataset_version": "1.0", "etl_name": "EHR
 
 
 def write_meds(folder: str, data: DataFrame, codes: DataFrame, splits: DataFrame, labels: dict[str, DataFrame], shards: int | None = None, dataset: dict[str, str] = DATASET) -> None:
-    """The whole layout under folder, with rows counted as they are written and once more on the way back.
+    """The whole layout under folder, with rows counted at the source and once more on the way back. (An Observation would count them on the write, but once a session has used one, Spark 4.1 can't serialize plans that pyspark.ml evaluates.)
 
     Events are dealt to shards by ranges of subjects, so that a subject's rows are in one shard, in the order of
     their times; metadata/shards says which subjects and how many rows each file has. metadata/dataset.json is
@@ -133,10 +133,9 @@ def write_meds(folder: str, data: DataFrame, codes: DataFrame, splits: DataFrame
     dealt = data.repartitionByRange(*([shards] if shards else []), "subject_id").sortWithinPartitions("subject_id", "time")
     parts = {"data": dealt, "metadata/codes": codes, "metadata/subject_splits": splits} | {f"labels/{k}": v for k, v in labels.items()}
     for name, df in parts.items():
-        seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder}/{name}")
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
         back = spark.read.parquet(f"{folder}/{name}")
-        if [(f.name, f.dataType) for f in back.schema] != [(f.name, f.dataType) for f in df.schema] or back.count() != seen.get.get("n", 0):
+        if [(f.name, f.dataType) for f in back.schema] != [(f.name, f.dataType) for f in df.schema] or back.count() != (data if name == "data" else df).count():
             raise ValueError(f"{name} did not survive its round trip")
     file = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file")
     manifest = spark.read.parquet(f"{folder}/data").groupBy(file).agg(F.min("subject_id").alias("first_subject"), F.max("subject_id").alias("last_subject"), F.countDistinct("subject_id").alias("n_subjects"), F.count(F.lit(1)).alias("n_rows"))
