@@ -115,8 +115,8 @@ def meds_labels(labels: DataFrame, value: Column | None = None) -> DataFrame:
     )
 
 
-#: What a data set's description says of its format and of how it was made.
-DATASET = {"dataset_name": "EHRSHOT", "dataset_version": "1.0", "etl_name": "EHRSHOT => MEDS ETL", "etl_version": "1.0", "meds_version": "0.3.3"}
+#: What a data set's description says unless the caller names it; the version of the format is fixed.
+DATASET = {"dataset_name": "timelines", "dataset_version": "1.0", "etl_name": "timelode", "etl_version": "1.0", "meds_version": "0.3.3"}
 
 
 def write_meds(folder: str, data: DataFrame, codes: DataFrame, splits: DataFrame, labels: dict[str, DataFrame], shards: int | None = None, dataset: dict[str, str] = DATASET) -> None:
