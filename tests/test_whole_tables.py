@@ -51,6 +51,25 @@ def test_codes_outside_the_hierarchy_stand_for_themselves(spark):
     assert {(r.code, r.n) for r in features.count_features(asked, events, above).collect()} == {("a", 1), ("top", 1), ("b", 2)}
 
 
+def test_a_timeline_lasts_until_a_visit_without_duration(spark, tmp_path):
+    import duckdb
+
+    tables = {
+        "orders": "SELECT * FROM VALUES (1L, 1L, TIMESTAMP_NTZ '2024-01-01', 'F'), (337L, 1L, TIMESTAMP_NTZ '2024-07-01', 'F') AS t(o_orderkey, o_custkey, o_orderdate, o_orderstatus)",
+        "lineitem": "SELECT 1L AS l_orderkey, 1 AS l_linenumber, 3L AS l_partkey, 1L AS l_suppkey, 5.0D AS l_quantity, 'A' AS l_returnflag, TIMESTAMP_NTZ '2023-12-01' AS l_shipdate",
+        "customer": "SELECT 1L AS c_custkey",
+        "nation": "SELECT 3 AS n_nationkey, 2 AS n_regionkey",
+        "part": "SELECT 3L AS p_partkey",
+    }
+    duck = duckdb.connect()
+    for name, sql in tables.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = duck.execute(ORACLES["concept_labeler"]).fetchall()
+    assert len(want) == 1
+    assert [tuple(r) for r in QUERIES["concept_labeler"](spark, str(tmp_path)).select("patient_id", "prediction_time", "value").collect()] == want
+
+
 #: Queries whose rows don't grow with the tables: reports with a row for each group, and limits that are the feature.
 FIXED = {"events_of_first_patients"}
 
