@@ -94,6 +94,13 @@ def test_one_store_for_the_files_as_they_are(spark, tmp_path):
     assert store.kept(spark, [path], make, "code").count() == 88 + 92 and len(made) == 2
 
 
+def test_buckets_stay_small_in_larger_stores(spark):
+    events = spark.range(3_000_000).selectExpr("id % 50000 AS patient_id", "TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, CAST(id % 999 AS INT)) AS start_time", "'c' AS code")
+    made = store.create(events, "store_of_many", "code")
+    held = [r["count"] for r in made.groupBy(F.input_file_name()).count().collect()]
+    assert sum(held) == 3_000_000 and max(held) < 300_000
+
+
 def test_csv_events_become_a_store(spark, tmp_path):
     (tmp_path / "e").mkdir()
     (tmp_path / "e/a.csv").write_text("patient_id,start_time,end_time,code,value,unit,visit_id,omop_table\n1,2024-01-02T00:00:00,,b,,,,\n1,2024-01-01T00:00:00,,a,1,,5,x\n")
