@@ -37,7 +37,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Distinct pieces kept by a worker; beyond that it starts anew. Bounds memory, not results.
 PIECES_KEPT = 60_000
 #: Texts are encoded in slices, and long texts in parts, of about so many bytes.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
 #: Longer words, in bytes, are encoded in segments of so many bytes.
 LONG_WORD, SEGMENT = 192, 48
 #: Code points below this are classed alike by every Unicode version in use; pieces with others are split by the library itself.
