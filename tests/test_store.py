@@ -72,6 +72,33 @@ def test_labels_without_a_shuffle(spark, kept, name):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count()
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.maxMetadataStringLength": "5000"}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_counts_with_ancestors_leave_frequent_codes_in_place(spark, kept, no_broadcast, monkeypatch):
+    # Of two codes that are frequent here one has ancestors; so have two that are not, and one of these is nowhere in the hierarchy.
+    monkeypatch.setattr(timeline, "FREQUENT_ROWS", 400, raising=False)
+    rare = F.when(F.col("event_idx") % 97 == 3, "rare").when(F.col("event_idx") % 97 == 5, "unknown").otherwise(F.col("code"))
+    events = kept.withColumn("code", rare)
+    up = spark.createDataFrame([(c, a) for c, above in {"Visit/IP": ["Visit/IP", "top"], timeline.DEATH: [timeline.DEATH], "rare": ["rare", "mid", "top"]}.items() for a in above], "code string, ancestor string")
+    asked = timeline.admissions(kept).select("patient_id", F.col("end_time").alias("prediction_time"))
+    got = features.count_features(asked, events, up)
+    text = plan(got)
+    assert "hashpartitioning(code" in text and "hashpartitioning(_key0" not in text and "LeftAnti" in text
+    lifted = events.join(up, "code", "left").select("patient_id", F.coalesce("ancestor", "code").alias("code"), "start_time")
+    want = asked.distinct().join(lifted, "patient_id").filter("start_time <= prediction_time").groupBy("patient_id", "prediction_time", "code").count()
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count()
+    assert {r.code for r in got.select("code").distinct().collect()} >= {"top", "mid", "rare", "unknown", "LOINC/777-3"}
+
+
 def test_timelines_of_some_patients(spark, kept):
     dead = timeline.deaths(kept).filter("patient_id % 7 = 0")
     got = store.of_patients(kept, dead)
