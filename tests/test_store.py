@@ -99,6 +99,17 @@ def test_counts_with_ancestors_leave_frequent_codes_in_place(spark, kept, no_bro
     assert {r.code for r in got.select("code").distinct().collect()} >= {"top", "mid", "rare", "unknown", "LOINC/777-3"}
 
 
+def test_a_join_with_orders_takes_partitions_by_rows(spark, no_broadcast, monkeypatch):
+    from timelode.sources import fixtures
+
+    monkeypatch.setattr(fixtures, "JOIN_ROWS", 1000, raising=False)
+    lines = spark.range(20_000).selectExpr("id % 9000 AS l_orderkey", "id AS l_partkey")
+    orders = spark.range(9000).selectExpr("id AS o_orderkey", "id * 3 AS o_custkey", "'x' AS rest")
+    got = fixtures._with_orders(lines, orders)
+    assert got.rdd.getNumPartitions() == 20 and got.count() == 20_000 and got.filter("o_custkey <> l_orderkey * 3").count() == 0
+    assert fixtures._with_orders(lines.limit(3000), orders).count() == 3000
+
+
 def test_timelines_of_some_patients(spark, kept):
     dead = timeline.deaths(kept).filter("patient_id % 7 = 0")
     got = store.of_patients(kept, dead)
