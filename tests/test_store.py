@@ -99,6 +99,18 @@ def test_counts_with_ancestors_leave_frequent_codes_in_place(spark, kept, no_bro
     assert {r.code for r in got.select("code").distinct().collect()} >= {"top", "mid", "rare", "unknown", "LOINC/777-3"}
 
 
+def test_large_sets_of_codes_leave_frequent_codes_in_place(spark, kept, no_broadcast, monkeypatch):
+    monkeypatch.setattr(timeline, "FREQUENT_ROWS", 400, raising=False)
+    monkeypatch.setattr(timeline, "SET_ROWS", 2, raising=False)
+    events = kept.withColumn("code", F.when(F.col("event_idx") % 97 == 3, "rare").when(F.col("event_idx") % 97 == 5, "other").otherwise(F.col("code")))
+    codes = spark.createDataFrame([("Visit/IP",), ("rare",), ("rare",), ("nowhere",)], "code string")
+    got = timeline.with_codes(events, codes)
+    text = plan(got)
+    assert got.columns == events.columns and re.search(r"BroadcastHashJoin \[code#\d+\], \[code#\d+\], LeftAnti", text) and re.search(r"BroadcastHashJoin \[code#\d+\], \[code#\d+\], LeftSemi", text)
+    want = events.filter("code IN ('Visit/IP', 'rare')")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and {r.code for r in got.select("code").distinct().collect()} == {"Visit/IP", "rare"}
+
+
 def test_a_join_with_orders_takes_partitions_by_rows(spark, no_broadcast, monkeypatch):
     from timelode.sources import fixtures
 
