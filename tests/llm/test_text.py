@@ -1,7 +1,9 @@
 """Word scans, the tokenizer codec, packing and exact dedup."""
 
+import gc
 import hashlib
 import random
+import sys
 import time
 import zlib
 
@@ -74,6 +76,26 @@ def test_codec_forgets_without_harm(monkeypatch, reference):
         assert encode_all([t]) == [reference.encode(t, add_special_tokens=False).ids]
 
 
+def test_pieces_of_letters_and_marks_of_every_kind(reference):
+    texts = [" ".join(f"a{chr(c)}. {chr(c)}b {chr(c)} {chr(c)}, x.{chr(c)}" for c in range(a, a + 48)) for a in range(32, 0x560, 48)]
+    assert encode_all(texts) == [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_kept_pieces_are_no_python_objects():
+    own = bpe.Codec()
+    text = lambda first: pa.array([" ".join(f"{_spelled(i)} {_spelled(i)}," for i in range(first, first + 10_000))])
+    own.encode(text(0))
+    gc.collect()
+    before = sys.getallocatedblocks()
+    ids, _ = own.encode(text(10_000))
+    gc.collect()
+    assert len(own.piece) >= 39_000 and len(ids) and sys.getallocatedblocks() - before < 2_000
+
+
+def _spelled(i: int) -> str:
+    return "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+
 @pytest.mark.parametrize("size", [8, 40, 300])
 def test_long_texts_in_parts(monkeypatch, reference, size):
     monkeypatch.setattr(bpe, "ENCODE_BYTES", size)

@@ -52,8 +52,11 @@ ODD[[*range(9, 14), *range(28, 33)]] = True
 
 #: First bytes of the white space beyond ASCII.
 WIDE = np.array([0xC2, 0xE1, 0xE2, 0xE3], np.uint8)
-#: A letter run with one of these at the piece's end is two words.
-MARKS = frozenset(".,;:!?)")
+#: Bytes that, after a run of letters, are a word of their own at a piece's end.
+MARK = np.zeros(256, bool)
+MARK[list(b".,;:!?)")] = True
+#: UTF-8 of code points below SETTLED has no byte from this one on, but for the last of them.
+UNSETTLED = 0xD4
 
 _CUT = re.compile(r" (?=\S)")
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -202,9 +205,9 @@ class Codec:
         self._clear()
 
     def _clear(self) -> None:
-        self.piece: dict[str, int] = {}
-        self.word: dict[str, int] = {}
+        self.piece, self.word = pa.array([], pa.string()), pa.array(list(self.special), pa.string())
         self.pieces_kept, self.words_kept = Runs(), Runs()
+        self.words_kept.add(np.array(list(self.special.values()), np.int64), np.ones(len(self.special), np.int64))
 
     def _merge_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of the merge of each pair, or NONE."""
@@ -352,12 +355,11 @@ class Codec:
             at = begin
         return np.concatenate(parts)
 
-    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids in a row, number of each word's ids) of distinct words."""
-        raw = [w.encode() for w in words]
-        n = np.fromiter(map(len, raw), np.int64, len(raw))
-        data, end = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(n)
-        at = end - n
+        data, end = text_buffers(words)
+        at, end = end[:-1], end[1:]
+        n = end - at
         usual = np.flatnonzero(n <= LONG_WORD)
         flat, word = self._greedy(data, at[usual], end[usual]) if len(usual) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         word = usual[word]
@@ -376,7 +378,7 @@ class Codec:
                 tokens.append(t)
                 owners.append(some[w])
         for w in np.flatnonzero(wrong & (n > 48)).tolist():
-            tokens.append(np.array(t := self._merge_long(raw[w]), np.int64))
+            tokens.append(np.array(t := self._merge_long(data[at[w] : end[w]].tobytes()), np.int64))
             owners.append(np.full(len(t), w))
         for w in np.flatnonzero(n > LONG_WORD).tolist():
             tokens.append(t := self._encode_run(data[at[w] : end[w]]))
@@ -390,43 +392,50 @@ class Codec:
             return self.words.findall(piece)
         return [piece[a:b] for _, (a, b) in self.library.pre_tokenize_str(piece)]
 
-    def _pieces(self, pieces: list[str]) -> np.ndarray:
+    def _words_of(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(the words of all pieces in a row, number of each piece's words). Runs of settled letters, alone or with a mark behind, are told by columns; other pieces are split one by one."""
+        bare = pc.if_else(pc.starts_with(pieces, " "), pc.utf8_slice_codeunits(pieces, 1), pieces)
+        data, at = text_buffers(bare)
+        n = np.diff(at)
+        high = np.concatenate([[0], np.cumsum(data >= UNSETTLED)])
+        settled = (high[at[1:]] == high[at[:-1]]) & (n > 0)
+        letters = settled & np.asarray(pc.utf8_is_alpha(bare))
+        marked = settled & ~letters
+        marked[marked] = MARK[data[at[1:][marked] - 1]]
+        some = np.flatnonzero(marked)
+        marked[some] = np.asarray(pc.utf8_is_alpha(pc.utf8_slice_codeunits(bare.take(pa.array(some)), 0, -1)))
+        some, other = pieces.take(pa.array(np.flatnonzero(marked))), np.flatnonzero(~letters & ~marked)
+        split = [[p] if p in self.special else self._split(p) for p in pieces.take(pa.array(other)).to_pylist()]
+        counts = np.where(marked, 2, 1)
+        counts[other] = [len(ws) for ws in split]
+        # Words by kind of piece, and where each stands in the row.
+        kinds = pieces.filter(pa.array(letters)), pc.utf8_slice_codeunits(some, 0, -1), pc.utf8_slice_codeunits(some, -1), pa.array([w for ws in split for w in ws], pa.string())
+        first = np.cumsum(counts) - counts
+        own = np.repeat(~letters & ~marked, counts)
+        stands = np.concatenate([first[letters], first[marked], first[marked] + 1, np.flatnonzero(own)])
+        order = np.empty(len(stands), np.int64)
+        order[stands] = np.arange(len(stands))
+        return pa.concat_arrays(kinds).take(pa.array(order)), counts
+
+    def _pieces(self, pieces: pa.Array) -> np.ndarray:
         """Places in the store of pieces; new ones are encoded together."""
-        known = self.piece
-        place = list(map(known.get, pieces))
-        if None in place:
-            new = list(dict.fromkeys(p for p, i in zip(pieces, place, strict=True) if i is None))
-            flat, counts, word = [], [], self.word
-            for p in new:
-                w = p[1:] if p[:1] == " " else p
-                if w.isalpha() and (w.isascii() or max(w) < SETTLED) or p in self.special:
-                    flat.append(p)
-                    counts.append(1)
-                elif w[-1:] in MARKS and (v := w[:-1]).isalpha() and (v.isascii() or max(v) < SETTLED):
-                    flat += (p[:-1], w[-1])
-                    counts.append(2)
-                else:
-                    ws = self._split(p)
-                    flat += ws
-                    counts.append(len(ws))
-            fresh = [w for w in dict.fromkeys(flat) if w not in word and w not in self.special]
-            if fresh:
-                k = len(word)
-                word.update(zip(fresh, range(k, k + len(fresh)), strict=True))
+        place = pc.index_in(pieces, self.piece)
+        if place.null_count:
+            new = pieces.filter(place.is_null()).unique()
+            flat, counts = self._words_of(new)
+            coded = flat.dictionary_encode()
+            index = pc.index_in(coded.dictionary, self.word)
+            if index.null_count:
+                fresh = coded.dictionary.filter(index.is_null())
                 self.words_kept.add(*self._encode_words(fresh))
-            for w in self.special:
-                if w not in word and w in flat:
-                    word[w] = len(word)
-                    self.words_kept.add(np.array([self.special[w]]), np.array([1]))
-            index = np.fromiter(map(word.__getitem__, flat), np.int64, len(flat))
-            ids, ends = self.words_kept.gather(index)
-            last = np.cumsum(counts)
+                self.word = pa.concat_arrays([self.word, fresh])
+                index = pc.index_in(coded.dictionary, self.word)
+            ids, ends = self.words_kept.gather(np.asarray(index)[np.asarray(coded.indices)].astype(np.int64))
             ends = np.concatenate([[0], ends])
-            k = len(known)
-            known.update(zip(new, range(k, k + len(new)), strict=True))
-            self.pieces_kept.add(ids, np.diff(ends[np.concatenate([[0], last])]))
-            place = map(known.__getitem__, pieces)
-        return np.fromiter(place, np.int64, len(pieces))
+            self.pieces_kept.add(ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])]))
+            self.piece = pa.concat_arrays([self.piece, new])
+            place = pc.index_in(pieces, self.piece)
+        return np.asarray(place).astype(np.int64)
 
     def _gather(self, place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         flat, ends = self.pieces_kept.gather(place)
@@ -452,7 +461,7 @@ class Codec:
         n = len(column)
         if not n:
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
-        lists = pc.split_pattern(column, " ")
+        lists = pc.split_pattern(column.cast(pa.string()), " ")
         first = np.asarray(lists.offsets).astype(np.int64)
         first = first - first[0]
         coded = lists.flatten().dictionary_encode()
@@ -465,12 +474,13 @@ class Codec:
         odd_rows = np.logical_or.reduceat(odd[code], first[:-1])
         for s in self.special:
             odd_rows |= np.asarray(pc.match_substring(column, s))
-        place = self._pieces(pc.binary_join_element_wise("", distinct, " ").to_numpy(zero_copy_only=False).tolist())[code]
-        place[first[:-1]] = self._pieces(distinct.take(pa.array(code[first[:-1]])).to_numpy(zero_copy_only=False).tolist())
         odd_rows = np.flatnonzero(odd_rows)
+        cuts = [self._cut(t) for t in column.take(pa.array(odd_rows)).to_pylist()]
+        at_start = distinct.take(pa.array(code[first[:-1]]))
+        known = self._pieces(pa.concat_arrays([pc.binary_join_element_wise("", distinct, " "), at_start, pa.array([p for c in cuts for p in c], pa.string())]))
+        place = known[: len(distinct)][code]
+        place[first[:-1]] = known[len(distinct) :][:n]
         if len(odd_rows):
-            texts = column.take(pa.array(odd_rows)).to_pylist()
-            cuts = [self._cut(t) for t in texts]
             own = np.diff(first)
             own[odd_rows] = 0
             keep = np.repeat(own > 0, np.diff(first))
@@ -480,7 +490,7 @@ class Codec:
             whole = np.zeros(start[-1], np.int64)
             there = np.repeat(own > 0, counts)
             whole[there] = place[keep]
-            whole[~there] = self._pieces([p for c in cuts for p in c])
+            whole[~there] = known[len(distinct) + n :]
             place, first = whole, start
         return self._gather(place, first)
 
